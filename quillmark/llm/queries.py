@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules
+from .mixing import op2_mix_sources
 from .quality_rules import op1_quality_rules
 from .simhash import op5_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mix_sources": op2_mix_sources,
     "op5_simhash_dedup": op5_simhash_dedup,
 }
 
