@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules
+from .hilbert import op6_hilbert_shards
 from .mixing import op2_mix_sources
 from .quality_rules import op1_quality_rules
 from .simhash import op5_simhash_dedup
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_hilbert_shards": op6_hilbert_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
