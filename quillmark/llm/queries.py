@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality_rules
 from .hilbert import op6_hilbert_shards
 from .mixing import op2_mix_sources
+from .packing import op9_pack_sos
 from .quality_rules import op1_quality_rules
 from .simhash import op5_simhash_dedup
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op9_pack_sos": op9_pack_sos,
 }
 
 ORACLE_SQL: dict[str, str] = {
