@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import chat, quality_rules
+from .chat import op8_chat_format
 from .hilbert import op6_hilbert_shards
 from .mixing import op2_mix_sources
 from .packing import op9_pack_sos
@@ -18,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op8_chat_format": op8_chat_format,
     "op9_pack_sos": op9_pack_sos,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op8_chat_format": chat.ORACLE,
 }
