@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, quality_rules
 from .chat import op8_chat_format
 from .hilbert import op6_hilbert_shards
+from .licenses import op3_license_scan
 from .mixing import op2_mix_sources
 from .packing import op9_pack_sos
 from .quality_rules import op1_quality_rules
@@ -17,6 +18,7 @@ from .simhash import op5_simhash_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
+    "op3_license_scan": op3_license_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op8_chat_format": op8_chat_format,
