@@ -10,6 +10,7 @@ from . import chat, quality_rules
 from .chat import op8_chat_format
 from .hilbert import op6_hilbert_shards
 from .licenses import op3_license_scan
+from .mil import op4_quality_classifier
 from .mixing import op2_mix_sources
 from .packing import op9_pack_sos
 from .quality_rules import op1_quality_rules
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op8_chat_format": op8_chat_format,
