@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, quality_rules
 from .chat import op8_chat_format
 from .hilbert import op6_hilbert_shards
+from .lattice import op10_lattice_lm
 from .licenses import op3_license_scan
 from .mil import op4_quality_classifier
 from .mixing import op2_mix_sources
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hilbert_shards": op6_hilbert_shards,
     "op8_chat_format": op8_chat_format,
     "op9_pack_sos": op9_pack_sos,
+    "op10_lattice_lm": op10_lattice_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
