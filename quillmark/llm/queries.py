@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality_rules
+from . import chat, itq, quality_rules
 from .chat import op8_chat_format
 from .hilbert import op6_hilbert_shards
+from .itq import op7_itq_dedup
 from .lattice import op10_lattice_lm
 from .licenses import op3_license_scan
 from .mil import op4_quality_classifier
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_itq_dedup": op7_itq_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_pack_sos": op9_pack_sos,
     "op10_lattice_lm": op10_lattice_lm,
@@ -31,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op7_itq_dedup": itq.ORACLE,
     "op8_chat_format": chat.ORACLE,
 }
