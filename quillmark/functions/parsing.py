@@ -24,7 +24,7 @@ def confidence(value: Column) -> Column:
     """A confidence in 0 to 1: values over 10 are percent, over 1 tenths; unreadable is null."""
     v = value.try_cast("double")
     v = F.when(v > 10, v / 100).when(v > 1, v / 10).otherwise(v)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
 def candidate_codes(answer: Column) -> Column:

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import evaluation, knowledge, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**evaluation.QUERIES, **knowledge.QUERIES, **texts.QUERIES}
+ORACLE_SQL: dict[str, str] = {**evaluation.SQL, **knowledge.SQL, **texts.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Votes of lexical neighbours, evaluated."""
+    return QUERIES["flagship_knn_evaluated"](spark, sf_dir)
