@@ -71,6 +71,13 @@ class Scratch:
         _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
+def slices(batches, rows: int = 512):
+    """Record batches in smaller pieces, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
