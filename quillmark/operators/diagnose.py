@@ -163,3 +163,30 @@ def one_note_per_encounter(notes: DataFrame, how: str = "first") -> DataFrame:
 def normalisation_counts(normalised: DataFrame) -> DataFrame:
     """One row over the result of normalize_codes: rows, rows without an accepted code, and totals of each kind."""
     return normalised.agg(F.count("*").alias("rows_in"), F.sum((F.size("accepted") == 0).cast("int")).alias("rows_no_codes"), *[F.sum(F.size(c)).alias(f"n_{c}") for c in ("accepted", "unresolved", "dropped")])
+
+
+def recall_buckets(gold: DataFrame, rankings: dict[str, DataFrame], kb: DataFrame, ks=(10, 50, 100, 200, 500)) -> DataFrame:
+    """A row per ranker (note_id, code, rank from 0) and depth: recall of gold; also the share of gold in the knowledge base."""
+    k = kb.select("code", F.lit(1).alias("known")).distinct()
+    out = None
+    for name, r in rankings.items():
+        best = r.groupBy("note_id", "code").agg(F.min("rank").alias("rank"))
+        x = gold.join(best, ["note_id", "code"], "left").join(k, "code", "left")
+        one = x.select("rank", "known", F.explode(F.array(*map(F.lit, ks))).alias("k")).groupBy("k").agg(
+            r6(F.avg(F.coalesce((F.col("rank") < F.col("k")).cast("int"), F.lit(0)))).alias("recall"), r6(F.count("known") / F.count("*")).alias("share_in_kb")
+        ).withColumn("ranker", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("ranker", "k", "recall", "share_in_kb")
+
+
+def score_quantiles(gold: DataFrame, ranking: DataFrame, qs=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """is_gold, n, quantiles of scores of gold and other cells."""
+    x = ranking.join(gold.select("note_id", "code", F.lit(True).alias("is_gold")), ["note_id", "code"], "left").na.fill(False, ["is_gold"])
+    return x.groupBy("is_gold").agg(F.count("*").alias("n"), F.percentile("score", F.array(*map(F.lit, qs))).alias("quantiles"))
+
+
+def dropped_histogram(codes: DataFrame, keep: Column, section: Column, top: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The codes that a filter drops, most common first (a report's top list), and counts by section before and after."""
+    x = codes.withColumn("_keep", keep).withColumn("section", section)
+    hist = x.where(~F.col("_keep")).groupBy("code").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "code").limit(top)
+    return hist, x.groupBy("section").agg(F.count("*").alias("before"), F.sum(F.col("_keep").cast("int")).alias("after"))

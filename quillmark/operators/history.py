@@ -119,3 +119,23 @@ def siblings(kb: DataFrame, levels: int = 6) -> DataFrame:
     fam = family(kb, levels).where("family is not null")
     ranges = kb.select(F.col("code").alias("sibling"), F.posexplode(F.array(*[F.trim(F.col(f"code_range_{i}")) for i in range(1, levels + 1)])).alias("l", "range"))
     return fam.join(ranges, (F.col("family") == F.col("range")) & (F.col("level") == F.col("l") + 1)).where("code <> sibling").select("code", "sibling")
+
+
+def active_codes(events: DataFrame, kb: DataFrame, as_of: str) -> DataFrame:
+    """All codes of events and knowledge base that are in force on a day."""
+    every = events.select("code").union(kb.select("code")).distinct().withColumn("as_of", F.lit(as_of).cast("date"))
+    return is_active(every, events, kb).where("active").select("code")
+
+
+def crosswalk_map(events: DataFrame, kb: DataFrame, as_of: str, depth: int = 5) -> DataFrame:
+    """code, substitute of every code with events that is not in force on a day and has a substitute."""
+    asked = events.select("code").distinct().withColumn("as_of", F.lit(as_of).cast("date"))
+    return crosswalk(asked, events, kb, depth).where("substitute is not null").select("code", "substitute")
+
+
+def crosswalk_set(codes: DataFrame, events: DataFrame, kb: DataFrame, as_of: str, keep_unresolved: bool = False) -> DataFrame:
+    """note_id, code: sets of codes as of a day; codes not in force become their substitute, or go, or stay if asked."""
+    days = codes.select("code").distinct().withColumn("as_of", F.lit(as_of).cast("date"))
+    x = codes.join(is_active(days, events, kb).select("code", "active"), "code").join(crosswalk(days, events, kb).select("code", "substitute"), "code", "left")
+    new = F.when(F.col("active"), F.col("code")).otherwise(F.coalesce("substitute", F.col("code") if keep_unresolved else F.lit(None).cast("string")))
+    return x.select("note_id", new.alias("code")).where("code is not null").distinct()
