@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_crc, table, text_bytes
+from .common import Scratch, id_crc, slices, table, text_bytes
 
 MARK = "▁"
 LN10 = math.log(10)
@@ -113,7 +113,7 @@ def count_words(docs: DataFrame, is_training) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array([held.get(w, 0) for w in part], pa.int64())], ["word", "n"])
             held.clear(), other.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for t, train in zip(text_bytes(b.column(0)), b.column(1).to_pylist()):
                 words = t.lower().split()
                 if train:
@@ -180,7 +180,7 @@ def lattice_scores(docs: DataFrame, is_training, vocabulary_path: str, head: int
 
     def lookup(batches):
         table_ = shared.value
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in text_bytes(b.column(1)):
                 seen = Counter(t.lower().split())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import slices, table, text_bytes
 
 #: A-Z to lower case; all other ASCII but digits and a-z parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -230,7 +230,7 @@ def scan_licenses(docs: DataFrame, templates=None, base=None) -> DataFrame:
 
     def run(batches):
         scanner = Scanner(templates, base)
-        for b in batches:
+        for b in slices(batches):
             found = [scanner.scan(t) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_bytes
+from .common import Scratch, slices, table, text_bytes
 from .components import connected_components
 
 BITS = 64
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint as a signed long) of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = [_signed(fingerprint(t, shingle)) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
