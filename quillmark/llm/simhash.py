@@ -160,19 +160,23 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """Rows of ``docs`` that stay when one row of each component does: the one with the smallest doc_id (null last),
-    then the smallest text hash; a row repeated in full stays once."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    found = scratch.keep(simhash_components(docs, **params))
+def keep_first(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of ``docs`` that stay when one row of each group ``g`` of ``found`` (doc_id, text_hash, g) does: the one with
+    the smallest doc_id (null last), then the smallest text hash; a row repeated in full stays once."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    # A component without any id is told by its fingerprint.
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     stay = scratch.keep(
-        found.groupBy(group.alias("g")).agg(first, F.count("*").alias("n"))
+        found.groupBy("g").agg(first, F.count("*").alias("n"))
         .select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash"))
     )
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_keep_id"]) & (F.xxhash64(docs["text"]) == stay["_keep_hash"]), "left_semi")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").take(1)
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """Rows of ``docs`` that stay when one row of each component does."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(simhash_components(docs, **params))
+    # A component without any id is told by its fingerprint.
+    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    return keep_first(docs, found.withColumn("g", group), scratch)
