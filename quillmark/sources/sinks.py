@@ -39,11 +39,19 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.text(path).count()
 
 
-def write_metrics(metrics: dict[str, DataFrame], path: str) -> dict:
-    """One JSON file of small metric tables, keys sorted, on the driver; lists where a table has several rows."""
+def write_metrics(metrics: dict[str, DataFrame], path: str, apart: tuple[str, ...] = ("per_code",), most: int = 10_000) -> dict:
+    """One JSON file of small metric tables, keys sorted, on the driver; lists where a table has several rows. Tables named in
+    ``apart`` have a row a code: they are written whole as Parquet beside the file, which names their place. Any other table of
+    more than ``most`` rows is an error."""
     out = {}
     for name, df in metrics.items():
-        rows = [r.asDict() for r in df.limit(10_000).collect()]
+        if name in apart:
+            out[name] = {"parquet": f"{path}.{name}.parquet"}
+            df.write.mode("overwrite").parquet(out[name]["parquet"])
+            continue
+        rows = [r.asDict() for r in df.limit(most + 1).collect()]
+        if len(rows) > most:
+            raise ValueError(f"metric table {name} has more than {most} rows; name it in apart")
         out[name] = rows[0] if len(rows) == 1 else rows
     with open(path, "w") as f:
         json.dump(out, f, sort_keys=True, indent=1, default=str)
