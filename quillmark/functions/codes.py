@@ -11,7 +11,9 @@ CATEGORIES = ("CPT_I", "CPT_II", "CPT_III", "PLA", "MAAA", "HCPCS")
 # Surgical range, evaluation-and-management range, HCPCS codes that name no procedure.
 SURGERY = (10004, 69990)
 EVALUATION = (99202, 99499)
-NON_PROCEDURAL = ("G0378", "G0379", "G0380", "G0381", "G0382", "G0383", "G0384", "G0463", "G0402", "G0438", "G0439", "G0444", "G0442", "G0447", "G0506")
+NON_PROCEDURAL = ("G0378", "G0379", "G0380", "G0381", "G0382", "G0383", "G0384", "G0425", "G0426", "G0427", "G0463", "G0316", "G0317", "G0318", "G2212")
+# Fixed value: how a change note names codes.
+PROSE_CODE = r"(?<![A-Za-z0-9])(?:\d{4}[A-Z]|\d{5}|[A-Z]\d{4})(?![A-Za-z0-9])"
 
 
 def norm(code: Column) -> Column:
@@ -36,8 +38,7 @@ def find_codes(text: Column) -> Column:
 
 def codes_in_prose(text: Column) -> Column:
     """Codes that a change note names: case-sensitive, any letter as suffix."""
-    pattern = r"(?<![A-Za-z0-9])(?:\d{4}[A-Z]|\d{5}|[A-Z]\d{4})(?![A-Za-z0-9])"
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PROSE_CODE), F.lit(0)))
 
 
 def has_shape(code: Column) -> Column:
@@ -77,11 +78,11 @@ def passes_filter(code: Column, mode: str) -> Column:
 
 
 def section(code: Column) -> Column:
-    """Coarse section by numeric range."""
+    """Coarse section: what is not five digits is hcpcs2, and five digits outside the four named ranges are medicine."""
     n = _number(code)
     return (
-        F.when(norm(code).rlike(r"^[A-Z]\d{4}$"), "hcpcs2").when(n.between(10004, 69990), "surgery").when(n.between(99202, 99499), "em")
-        .when(n.between(70010, 79999), "radiology").when(n.between(80047, 89398), "pathology").when(n.between(90281, 99607), "medicine").otherwise("other")
+        F.when(n.isNull(), "hcpcs2").when(n.between(*SURGERY), "surgery").when(n.between(*EVALUATION), "em")
+        .when(n.between(70010, 79999), "radiology").when(n.between(80047, 89398), "pathology").otherwise("medicine")
     )
 
 

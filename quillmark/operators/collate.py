@@ -79,16 +79,21 @@ def preferred_metric(cells: DataFrame, order: list[str]) -> DataFrame:
 
 
 # Keys that never leave the site.
-DENIED = ("note_text", "text", "snippet", "evidence", "prompt", "response", "note_id", "patient_id", "examples")
+DENIED = (
+    "note_id", "note_ids", "note_index", "note_text", "notes_text", "text", "subject_id", "subject_ids", "hadm_id", "hadm_ids", "encounter_csn_id",
+    "pat_mrn_id", "mrn", "patient_id", "snippet", "snippets", "evidence", "raw_text", "full_text", "report_text", "note", "rows", "records",
+    "per_note", "examples_text",
+)
 
 
 def guard(node, deny=DENIED, max_str: int = 200, max_list: int = 64, path: str = "") -> tuple[object, list[str]]:
-    """A JSON tree without denied keys, texts of several lines, long texts and long lists; and the paths dropped."""
+    """A JSON tree without denied keys (whatever their case), texts of several lines, long texts and long lists, which also leave
+    lists that hold them; and the paths dropped."""
     if isinstance(node, dict):
         out, dropped = {}, []
         for k, v in node.items():
             here = f"{path}.{k}" if path else k
-            if k in deny:
+            if str(k).lower() in deny:
                 dropped.append(here)
                 continue
             kept, more = guard(v, deny, max_str, max_list, here)
@@ -101,7 +106,7 @@ def guard(node, deny=DENIED, max_str: int = 200, max_list: int = 64, path: str =
             return None, [path]
         pairs = [guard(v, deny, max_str, max_list, f"{path}[]") for v in node]
         return [v for v, more in pairs if f"{path}[]" not in more], sorted({x for _, more in pairs for x in more})
-    if isinstance(node, str) and ("\n" in node or len(node) > max_str):
+    if isinstance(node, str) and ("\n" in node or "\r" in node or len(node) > max_str):
         return None, [path]
     return node, []
 

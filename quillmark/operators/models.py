@@ -86,19 +86,19 @@ class Echo:
         return "Sure. " + json.dumps({"selected": self.codes})
 
 
-def fit_prompt(target: str, exemplars: list[str], candidates: list[str], budget: int, count: Callable[[str], int] = lambda s: len(s.split())) -> tuple[str, list[str], list[str]]:
-    """Trim to a token budget: exemplars from the end, then candidates, then exemplars' length by 0.7 down to 100 tokens, then the
-    target's by 0.7 down to 600."""
+def fit_prompt(target: str, exemplars: list[str], candidates: list[str], budget: int, count: Callable[[str], int] = lambda s: len(s.split()), min_candidates: int = 10, min_exemplars: int = 1, min_exemplar: int = 100, min_target: int = 600) -> tuple[str, list[str], list[str]]:
+    """Trim to a token budget: exemplars from the end down to ``min_exemplars``, then candidates down to ``min_candidates``, then
+    exemplars' length by 0.7 down to ``min_exemplar`` tokens, then the target's by 0.7 down to ``min_target``."""
     total = lambda: count(target) + sum(map(count, exemplars)) + sum(map(count, candidates))
     cut = lambda s, n: " ".join(s.split()[:n])
-    while total() > budget and len(exemplars) > 1:
+    while total() > budget and len(exemplars) > min_exemplars:
         exemplars = exemplars[:-1]
-    while total() > budget and len(candidates) > 1:
+    while total() > budget and len(candidates) > min_candidates:
         candidates = candidates[:-1]
-    while total() > budget and exemplars and max(map(count, exemplars)) > 100:
-        exemplars = [cut(e, max(100, int(count(e) * 0.7))) for e in exemplars]
-    while total() > budget and count(target) > 600:
-        target = cut(target, max(600, int(count(target) * 0.7)))
+    while total() > budget and exemplars and max(map(count, exemplars)) > min_exemplar:
+        exemplars = [cut(e, max(min_exemplar, int(count(e) * 0.7))) for e in exemplars]
+    while total() > budget and count(target) > min_target:
+        target = cut(target, max(min_target, int(count(target) * 0.7)))
     return target, exemplars, candidates
 
 

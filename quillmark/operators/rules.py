@@ -25,21 +25,40 @@ def mue_lookup(mue: DataFrame) -> DataFrame:
     return mue.groupBy("code").agg(F.min("max_units").alias("max_units"))
 
 
+def note_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Ordered pairs of unlike codes of the same note: a(note_id, x) with b(note_id, y). A note has tens of codes, a rule table
+    millions of rows, so pairs are made inside notes and only then looked up."""
+    return a.join(b, "note_id").where("x <> y")
+
+
+def in_use(rules: DataFrame, column: str, codes: DataFrame, code: str = "code") -> DataFrame:
+    """Rows of a rule table whose ``column`` some note has."""
+    return rules.join(codes.select(F.col(code).alias(column)).distinct(), column, "left_semi")
+
+
 def ptp_check(codes: DataFrame, ptp: DataFrame) -> DataFrame:
-    """note_id, col1, col2, hard: ordered pairs of a note's codes that an edit names, in both directions.
+    """note_id, col1, col2, hard: ordered pairs of a note's codes that an edit names, in both directions; of several rows of a
+    pair the strictest counts. codes: one row a note and code.
+
+    Pairs are made inside notes and meet the edits in one equi-join on both codes, after the edits have lost rows of codes that
+    no note has; the strictest row is found among the few rows met, not over the whole table."""
+    pairs = note_pairs(codes.select("note_id", F.col("code").alias("x")), codes.select("note_id", F.col("code").alias("y"))).select("note_id", F.col("x").alias("col1"), F.col("y").alias("col2"))
+    edits = in_use(in_use(ptp.select("col1", "col2", "ccmi"), "col1", codes), "col2", codes)
+    met = edits.join(pairs.hint("shuffle_hash"), ["col1", "col2"]).groupBy("note_id", "col1", "col2").agg(F.min("ccmi").alias("ccmi"))
+    return met.select("note_id", "col1", "col2", F.col("ccmi").isin(0, 9).alias("hard"))
+
 
-    Codes that no edit names leave before pairs are made; a note's codes meet an edit's first code and then look for its
-    second in the same note, so pairs that are no edit never arise."""
-    first = codes.select("note_id", F.col("code").alias("col1")).join(ptp_lookup(ptp).select("col1", "col2", "ccmi"), "col1")
-    both = first.join(codes.select("note_id", F.col("code").alias("col2")), ["note_id", "col2"], "left_semi")
-    return both.select("note_id", "col1", "col2", F.col("ccmi").isin(0, 9).alias("hard"))
+def primaries_met(addons: DataFrame, codes: DataFrame, aoc1: DataFrame) -> DataFrame:
+    """note_id, addon, primary: add-ons (note_id, addon) with those of their primaries that the note's codes hold."""
+    pairs = note_pairs(addons.select("note_id", F.col("addon").alias("x")), codes.select("note_id", F.col("code").alias("y"))).select("note_id", F.col("x").alias("addon"), F.col("y").alias("primary"))
+    return in_use(aoc1.select("addon", "primary"), "primary", codes).distinct().join(pairs, ["addon", "primary"]).select("note_id", "addon", "primary")
 
 
 def aoc_check(codes: DataFrame, aoc1: DataFrame, aoc3: DataFrame) -> DataFrame:
     """note_id, addon, kind: type1 if none of the add-on's primaries is there; type3 always. A code can be both."""
     adds = codes.select("note_id", F.col("code").alias("addon"))
-    satisfied = adds.join(aoc1, "addon").join(codes.select("note_id", F.col("code").alias("primary")), ["note_id", "primary"], "left_semi").select("note_id", "addon").distinct()
-    one = adds.join(aoc1.select("addon").distinct(), "addon", "left_semi").join(satisfied, ["note_id", "addon"], "left_anti")
+    named = adds.join(aoc1.select("addon").distinct(), "addon", "left_semi")
+    one = named.join(primaries_met(named, codes, aoc1).select("note_id", "addon").distinct(), ["note_id", "addon"], "left_anti")
     three = adds.join(aoc3.select("addon").distinct(), "addon", "left_semi")
     return one.select("note_id", "addon", F.lit("type1").alias("kind")).unionByName(three.select("note_id", "addon", F.lit("type3").alias("kind")))
 
@@ -107,8 +126,9 @@ def constrained_decode(ranking: DataFrame, ptp: DataFrame, aoc1: DataFrame, thre
     cand = (r.where(F.col("r") <= top_k) if top_k is not None else r.where(F.col("score") >= threshold)).select("note_id", "code", "score", "r")
     codes = cand.select("note_id", "code")
     edges = ptp_check(codes, ptp).select("note_id", F.when(F.col("hard"), "hard").otherwise("soft").alias("kind"), F.col("col1").alias("a"), F.col("col2").alias("b"))
-    adds = codes.select("note_id", F.col("code").alias("addon")).join(aoc1.select("addon").distinct(), "addon", "left_semi").select("note_id", F.lit("addon").alias("kind"), F.col("addon").alias("a"), F.lit(None).cast("string").alias("b"))
-    prim = codes.select("note_id", F.col("code").alias("addon")).join(aoc1, "addon").join(codes.select("note_id", F.col("code").alias("primary")), ["note_id", "primary"], "left_semi").select("note_id", F.lit("primary").alias("kind"), F.col("addon").alias("a"), F.col("primary").alias("b"))
+    named = codes.select("note_id", F.col("code").alias("addon")).join(aoc1.select("addon").distinct(), "addon", "left_semi")
+    adds = named.select("note_id", F.lit("addon").alias("kind"), F.col("addon").alias("a"), F.lit(None).cast("string").alias("b"))
+    prim = primaries_met(named, codes, aoc1).select("note_id", F.lit("primary").alias("kind"), F.col("addon").alias("a"), F.col("primary").alias("b"))
     rows = cand.select("note_id", F.lit("cand").alias("kind"), F.col("code").alias("a"), F.lit(None).cast("string").alias("b"), "r", "score")
     for x in (edges, adds, prim):
         rows = rows.unionByName(x.withColumn("r", F.lit(None).cast("int")).withColumn("score", F.lit(None).cast("double")))

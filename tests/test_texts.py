@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators import collate as L
@@ -13,34 +14,78 @@ from quillmark.sources import sinks as O
 
 
 def test_scrubber():
-    s = S.Scrubber(["43235", "0479T"])
-    assert s("did 43235LT x2 today") == (f"did {S.MASK} today", 1, 0)
-    assert s("PROC 43235 - PR EGD DIAGNOSTIC  next") == (f"PROC {S.MASK}  next", 1, 1)
-    assert s("1432350 and 4323") == ("1432350 and 4323", 0, 0)
+    s = S.Scrubber(["43235", "0479T", "15734", "J0585", "MA", "ME", None])
+    assert s.codes == {"43235", "0479T", "15734", "J0585"}
+    m = S.MASK
+    for text, want in {
+        "did 43235LT x2 today": f"did {m} x2 today", "15734x2, CPT15734, eye43235": f"{m}, {m}, {m}", "43235MILF 43235LONGER": f"{m} 43235LONGER",
+        "43235G25 43235G25BIL 43235 35": f"{m} {m} {m} 35", "j0585 aj0585": f"{m} {m}", "0479t25 toolong43235": f"{m} toolong43235", "Name MAIN female": "Name MAIN female",
+        "1432350 and 4323 43235é": f"1432350 and 4323 {m}é", "": "",
+    }.items():
+        assert s(text)[0] == want, text
+    assert s("PROC 43235 - PR EGD DIAGNOSTIC  next") == (f"PROC {m}  next", 1, 1)
+    assert s("43235-pr x\n43235 - PR") == (f"{m}\n{m} - PR", 2, 1)
     once = s("A 43235 - PR X\nB0479t")[0]
-    assert s(once)[0] == once
+    assert s(once) == (once, 0, 0)
 
 
-def test_trie_is_the_alternation():
+def test_shared_prefixes_are_the_alternation():
     import re
 
-    words = ["12345", "12399", "9", "99"]
-    p = re.compile(S.trie_pattern(words))
-    assert all(p.fullmatch(w) for w in words) and not any(p.fullmatch(w) for w in ("123", "12390", "999"))
-
-
-def test_sections():
-    rules = (S.header_rule("find", "Findings"), S.header_rule("proc", "Procedure in detail"))
-    got = S.sections("intro\nFindings: all well\nprocedure in  detail cut\nFindings:\nmore", rules)
-    assert got == {"preamble": "intro", "find": "Findings: all well\n\nFindings:\nmore", "proc": "procedure in  detail cut"}
-    assert S.sections("the findings were", rules) == {"body": "the findings were"}
-
-
-def test_windows_make_progress():
-    parts = S.sentences("One two. Three four five! Seen by Dr. No at six; Seven. " * 20)
-    assert "Seen by Dr. No at six;" in parts
-    w = S.windows(parts, 12, 6)
-    assert w[0][0] == 0 and w[-1][1] == len(parts) and all(b[0] > a[0] and b[0] <= a[1] for a, b in zip(w, w[1:]))
+    words = ["12345", "12399", "9", "99", "a+b"]
+    p = re.compile(S.shared_prefix_pattern(words))
+    assert all(p.fullmatch(w) for w in words) and not any(p.fullmatch(w) for w in ("123", "12390", "999", "aab"))
+    assert p.match("99")[0] == "99" and S.shared_prefix_pattern([]) == ""
+
+
+def test_masked_codes(table):
+    x = table([("see 43235, x43235 and j0585",), (None,)], "t string")
+    assert [r[0] for r in S.mask_codes(x, "t", ["43235", "J0585"]).collect()] == ["see [PROC_CODE], x43235 and [PROC_CODE]", None]
+    assert S.mask_codes(x, "t", ["43235"], remove=True).first()[0] == "see , x43235 and j0585"
+
+
+def test_headers():
+    assert S.header_rule("a", " DX  of : ").pattern == r"\bDX\s+of\s*:\s*" and S.header_rule("a", "(x)").pattern == r"\(x\)\s*"
+    rules = (S.header_rule("find", "Findings:"), S.header_rule("proc", "Procedure in detail"), S.header_rule("plan", "PLAN"))
+    got = S.sections("intro\rFindings : all\t well\n\n\nProcedure in  detail cut\nFindings:\nmore\nPLAN\nPLAN: rest", rules)
+    # The blanks behind a lone header go with it, so the first PLAN is followed by text; the second one by a colon.
+    assert got == {"preamble": "intro", "find": "Findings : all well\n\nFindings: more\nPLAN", "proc": "Procedure in detail cut", "plan": "PLAN : rest"}
+    assert S.sections("the findings: were", rules) == {"body": "the findings: were"}  # case counts
+    assert S.sections("no PLAN here", rules) == {"body": "no PLAN here"} and S.sections(" \n", rules) == {}
+    per_line = S.sections("x\nA 1\ny\nB 2", (S.Rule("l", r"^[AB] \d"),))
+    assert per_line == {"preamble": "x", "l": "A 1 y"}
+    tax = S.Taxonomy(("p", "f", "l"), "p", "f")
+    assert S.rules_of({"patterns": [{"section": "l", "regex": "x"}, {"section": "", "regex": "y"}]}, tax) == [S.Rule("l", "x")]
+    for bad in ({"patterns": []}, {"patterns": [{"section": "zz", "regex": "x"}]}):
+        with pytest.raises(ValueError):
+            S.rules_of(bad, tax)
+    with pytest.raises(ValueError):
+        S.Taxonomy(("p",), "p", "f")
+
+
+def test_sentences():
+    assert S.sentences("One two.  Three<br/>four five! Seen by dr. No at 6 A.M. Then; Seven: a\\nB. [x] 9") == [
+        "One two.", "Three four five!", "Seen by dr. No at 6 A.M. Then;", "Seven: a B.", "[x] 9"]
+    assert S.sentences(None) == S.sentences(" <p> ") == []
+    assert [len(x.split()) for x in S.sentences("w " * 301)] == [40] * 7 + [21] and len(S.sentences("w " * 300)) == 1
+
+
+def test_windows():
+    # Two sentences of 100: the step back ends at the budget, and never at the window's own first sentence.
+    assert S.windows([100, 100, 100]) == [(0, 0, 100), (1, 1, 100), (2, 2, 100)]
+    assert S.windows([50, 50, 50, 50]) == [(0, 2, 150), (1, 3, 150)]
+    assert S.windows([30] * 8, 120, 60) == [(0, 3, 120), (2, 5, 120), (4, 7, 120)]
+    assert S.windows([200, 5, 5], 180, 60) == [(0, 0, 200), (1, 2, 10)] and S.windows([]) == []
+    assert S.windows([180, 0, 1]) == [(0, 0, 180), (1, 2, 1)]
+
+
+def test_snippets(spark):
+    n = spark.createDataFrame([(1, "One two. Three four. Five six.", 9), (2, None, 9), (3, " ", 9)], "note_id long, text string, n_words int")
+    got = S.snippets(n, max_words=4, overlap=1).orderBy("snippet_index").collect()
+    assert [(r["note_id"], r["start_sentence"], r["end_sentence"], r["n_words"], r["snippet_text"]) for r in got] == [(1, 0, 1, 4, "One two. Three four."), (1, 1, 2, 4, "Three four. Five six.")]
+    w = spark.createDataFrame([("a", "43235, zz", "Did 43235 today."), ("b", None, "And 43235 again."), ("c", "", " ")], "note_id string, CPT_CODES string, plan string")
+    long = {r["note_id"]: r for r in S.section_snippets(w, "plan").collect()}
+    assert set(long) == {"a", "b"} and long["a"]["snippet_text"] == "Did [PROC_CODE] today." and long["b"]["snippet_id"] == "b_plan_000" and long["a"]["proc_codes"] == "43235"
 
 
 def test_collation(table):
@@ -92,8 +137,8 @@ def test_kb_contract(table):
 def test_echo_client(table):
     n = table([("1", "t"), ("2", "u")], "note_id string, note_text string")
     assert {r["response"] for r in V.chat(n, "p", lambda: V.Echo(["43235"])).collect()} == {'Sure. {"selected": ["43235"]}'}
-    t, e, c = V.fit_prompt("w " * 1000, ["x " * 300] * 3, ["y"] * 5, 900)
-    assert len(t.split()) < 1000 and len(e) == 1 and len(c) == 1
+    t, e, c = V.fit_prompt("w " * 1000, ["x " * 300] * 3, ["y"] * 15, 900)
+    assert len(t.split()) < 1000 and len(e) == 1 and len(c) == 10
 
 
 def test_stream_equals_batch(spark, tmp_path):
