@@ -1,10 +1,13 @@
 """Sum-of-squares online packing of tokenised documents.
 
-Each partition packs its documents as they stream by: no shuffle, no state but
-the open windows. A document's full windows close at once; its remainder goes to
-the fill level that keeps the sum of squared level counts smallest, looked up in
-an array of those counts. What is still open at the end of a partition is cut
-into windows whose lengths are powers of two, which need no padding.
+A document's full windows close at once; its remainder goes to the fill level
+that keeps the sum of squared level counts smallest, looked up in an array of
+those counts. Every partition packs its documents as they stream by, without a
+shuffle. A packer leaves about a window a level open, however much it has
+packed, so the pieces still open at a partition's end are carried to a second
+stage, which places those of many partitions in one task by the same rule. What
+is open after that is cut into windows whose lengths are powers of two, so that
+nothing is padded.
 """
 
 from __future__ import annotations
@@ -20,65 +23,102 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import Scratch, slices, table
 
 WINDOW = 2048
 END_ID = 1
-# Fixed value: the public pre-token pattern of this byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of these characters alone (ASCII, Latin letters) mean the same to every regular-expression engine.
-_PLAIN = re.compile("[\\t\\n\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
-#: Byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on, in order.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_OF = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-
-
-def _ranks(path: str) -> dict[bytes, int] | None:
-    """The vocabulary by bytes, if it is byte-level and its ids are the order of its merges, so that merging by least id and
-    merging by first rule are the same; else None."""
+
+
+def _parts_at_spaces(path: str) -> bool:
+    """Whether ids of a text are those of its chunks, one after the other, where a chunk begins at a blank between two characters
+    that are no white space: byte-level pieces under the usual pattern, in which a blank only ever begins a piece there."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    if model["type"] != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-        return None
-    vocab = model["vocab"]
-    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-    if [vocab.get(m) for m in merged] != list(range(256, 256 + len(merged))):
-        return None
-    return {bytes(_BYTE_OF[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merged)}
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    added = spec.get("added_tokens") or []
+    return plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+
+
+_BLANK = re.compile("[\\s\u180e\u200b\ufeff]")
+
+
+def _solid(word: str) -> bool:
+    """Whether a word begins and ends with what is white space to no engine."""
+    return bool(word) and (" " < word[0] < "\x7f" or not _BLANK.match(word[0])) and (" " < word[-1] < "\x7f" or not _BLANK.match(word[-1]))
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts by a tokenizer file through its own library, as little-endian unsigned 32-bit bytes.
 
-    The library that the file belongs to takes long over offsets that nobody reads here. A faster one applies the same
-    vocabulary and pattern to texts of plain characters; all other texts, and all texts under a vocabulary that it cannot
-    stand for, go to the file's own."""
+    Texts repeat their words, so a word behind a blank is encoded once and its ids are kept, at most ``most`` words at a time.
+    Words not yet known are encoded in one call as a text of their own, and its ids are dealt to them by their offsets. Where
+    blanks meet other white space, the words around are encoded together; every text takes this same way. Under a tokenizer whose ids do
+    not part at blanks, whole texts are encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.fast = None
-        if ranks := _ranks(path):
-            import tiktoken
-
-            self.fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.parts, self.most = _parts_at_spaces(path), most
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str], at_once: int = 1024) -> dict[str, bytes]:
+        """Ids of each of ``words`` behind a blank."""
+        out = {}
+        for at in range(0, len(words), at_once):
+            part = words[at : at + at_once]
+            got = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            cuts = 4 * np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(ids)), starts)
+            cuts[-1], held = 4 * len(ids), ids.tobytes()
+            out.update((w, held[i:j]) for w, i, j in zip(part, cuts.tolist(), cuts[1:].tolist()))
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if self.fast and _PLAIN.fullmatch(text):
-                yield self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not self.parts:
+            yield from map(self.whole, texts)
+            return
+        if len(self.known) > self.most:
+            self.known = {}
+        split = [t.split(" ") for t in texts]
+        new = {w for w in set().union(*split) if w not in self.known}
+        plain = list(filter(_solid, new))
+        self.known.update(self.learn(plain))
+        odd, get = new.difference(plain), self.known.get
+        for words in split:
+            if _solid(words[0]) and odd.isdisjoint(words):
+                yield self.whole(words[0]) + b"".join(map(get, words[1:]))
             else:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                yield self._pieces(words)
+
+    def _pieces(self, words: list[str]) -> bytes:
+        """Runs of words glued where one begins or ends with white space or is empty, and known words between them."""
+        n = len(words)
+        odd = [not _solid(w) for w in words]
+        out, at = [], 0
+        while at < n:
+            to = at + 1
+            while to < n and (odd[to] or odd[to - 1]):
+                to += 1
+            if to == at + 1 and at:
+                out.append(self.known[words[at]])
+            else:
+                run = " ".join(words[at:to])
+                out.append(self.whole(" " + run if at else run))
+            at = to
+        return b"".join(out)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a Python worker and path, so that its cache outlives a task."""
+    """One encoder a Python worker and path, so that what it knows outlives a task."""
     if path not in _encoders:
         import os
 
@@ -126,18 +166,36 @@ def powers(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
-def pack_stream(docs: Iterator[tuple], window: int = WINDOW) -> Iterator[list[tuple]]:
-    """docs: (doc_id, ids as bytes). Yields sequences, each a list of pieces (doc_id, start, ids as bytes, doc_tokens)."""
+#: How a piece came to its window: a full window of one document, the level array of its partition, that of the second
+#: stage, or the cut of what was left.
+PLACED = ("whole", "levels", "carried", "cut")
+
+
+def pack_stream(docs: Iterator[tuple], window: int = WINDOW) -> Iterator[tuple[int, list[tuple]]]:
+    """docs: (doc_id, ids as bytes). Yields (how, window), a window being a list of pieces (doc_id, start, ids as bytes,
+    doc_tokens). how is an index of PLACED, or -1 for windows open at the end."""
     packer, width = SumOfSquares(window), 4 * window
     for doc_id, ids in docs:
         tokens = len(ids) // 4
         full = len(ids) // width * width
         for at in range(0, full, width):
-            yield [(doc_id, at // 4, ids[at : at + width], tokens)]
+            yield 0, [(doc_id, at // 4, ids[at : at + width], tokens)]
         if full < len(ids):
             closed = packer.place((doc_id, full // 4, ids[full:], tokens), (len(ids) - full) // 4)
             if closed:
-                yield closed
+                yield 1, closed
+    for bin_ in packer.rest():
+        yield -1, bin_
+
+
+def pack_open(carried: Iterator[tuple], window: int = WINDOW) -> Iterator[tuple[int, list[tuple]]]:
+    """Pieces of open windows placed anew, one by one, whole; those still open at the end are laid end to end and cut at
+    ``window`` tokens, and their remainder at powers of two. Yields (how, window) as pack_stream does."""
+    packer = SumOfSquares(window)
+    for piece in carried:
+        closed = packer.place(piece, len(piece[2]) // 4)
+        if closed:
+            yield 2, closed
     pieces = [p for bin_ in packer.rest() for p in bin_]
     left = sum(len(p[2]) for p in pieces) // 4
     lengths = iter([window] * (left // window) + powers(left % window))
@@ -152,49 +210,67 @@ def pack_stream(docs: Iterator[tuple], window: int = WINDOW) -> Iterator[list[tu
             at += 4 * n
             room -= n
             if not room:
-                yield seq
+                yield 3, seq
                 seq = []
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
+def _rows(packed: Iterator[tuple[int, list[tuple]]], first: int, with_ids: bool, kinds: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of pieces; the ids of open windows go along, as they may still be cut."""
+    rows: list[tuple] = []
+    for k, (how, seq) in enumerate(packed):
+        at = 0
+        for doc_id, start, ids, tokens in seq:
+            n = len(ids) // 4
+            rows.append((doc_id, start, n, zlib.crc32(ids), tokens, first + k, at, how, ids if with_ids or how < 0 else None))
+            at += n
+        if len(rows) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False, carry_tokens: int = 1 << 25) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, placed_by (one of PLACED), and ids if
+    asked for.
 
     A document's ids are those of its whole text and then id 1; null and empty text have that one alone. Rows with equal
-    or null doc_id are documents of their own. sequence_id is the partition's number and the sequence's number in it. An
-    empty table gives no pieces. The packing of a partition depends on its rows alone, so a lost task repeats it.
+    or null doc_id are documents of their own; other columns, whatever their names, are not read. sequence_id is the stage, the
+    partition's number and the sequence's number in it. An empty table gives no pieces. The packing of a partition depends on its rows
+    alone, so a lost task repeats it. ``carry_tokens``: tokens that one task of the second stage takes, about; long pieces come
+    first, and the task streams them, so its memory does not depend on this.
     """
     end = np.array([END_ID], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "how", "ids"]
+    id_type = "string" if dict(docs.dtypes)["doc_id"] == "string" else "long"
+    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, how int, ids binary"
+    kinds = [pa.string() if id_type == "string" else pa.int64(), *[pa.int64()] * 6, pa.int32(), pa.binary()]
 
     def run(batches):
-        enc, first = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
+        enc = encoder(tokenizer_path)
 
         def stream():
             for b in slices(batches):
                 for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()])):
                     yield doc_id, ids + end
 
-        rows: list[tuple] = []
-        for k, seq in enumerate(pack_stream(stream(), window)):
-            at = 0
-            for doc_id, start, ids, tokens in seq:
-                n = len(ids) // 4
-                rows.append((doc_id, start, n, zlib.crc32(ids), tokens, first + k, at, ids)[: len(names)])
-                at += n
-            if len(rows) >= 4096:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
+        yield from _rows(pack_stream(stream(), window), TaskContext.get().partitionId() << 32, with_ids, kinds, names)
 
-    id_type = "string" if dict(docs.dtypes)["doc_id"] == "string" else "long"
-    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    kinds = [pa.string() if id_type == "string" else pa.int64(), *[pa.int64()] * 6, pa.binary()]
+    def run_open(batches):
+        def pieces():
+            for b in slices(batches, 1024):
+                yield from zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")))
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        yield from _rows(pack_open(pieces(), window), (1 << 62) + (TaskContext.get().partitionId() << 32), with_ids, kinds, names)
 
-    return docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    slim = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    placed = Scratch(docs.sparkSession).keep(slim.mapInArrow(run, schema))
+    open_ = placed.where("how < 0")
+    tasks = max(1, -(-(open_.agg(F.sum("length")).first()[0] or 0) // carry_tokens))
+    group = F.pmod(F.shiftright("sequence_id", 32), F.lit(tasks))
+    carried = open_.repartition(tasks, group).sortWithinPartitions(F.col("length").desc(), "sequence_id", "offset").mapInArrow(run_open, schema)
+    how = F.element_at(F.array(*map(F.lit, PLACED)), F.col("how") + 1).alias("placed_by")
+    return placed.where("how >= 0").unionByName(carried).select(*names[:7], how, *(["ids"] if with_ids else []))
 
 
 def op9_pack_sos(spark: SparkSession, sf_dir: str) -> DataFrame:

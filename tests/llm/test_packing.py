@@ -14,18 +14,28 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_the_tokenizers(tokenizer, rows):
     rng = random.Random(3)
-    texts = ["".join(rng.choice(" \n\t\r'.,!|a bcsé_|#½²日\x1c\x0b\xa0ÀŠ12T") for _ in range(25)) for _ in range(4000)] + ["<|endoftext|> x", ""] + [r[1] or "" for r in rows]
-    enc = P.Encoder(PATH)
-    assert enc.fast is not None
-    for t, got in zip(texts, enc.encode(texts)):
-        assert got == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    marks = [*" \n\t\r'.,!|a bcsé_|#½²日\x1c\x0b\xa0ÀŠ12T\u180e\u200b\u3000", "<|endoftext|>", " <|endoftext|> ", "'s", " the", "  "]
+    texts = ["".join(rng.choice(marks) for _ in range(25)) for _ in range(4000)] + ["hello <|endoftext|> end", "", " ", "a ", " a"] + [r[1] or "" for r in rows]
+    for enc in (P.Encoder(PATH), P.Encoder(PATH, most=10)):
+        assert enc.parts
+        got = [x for at in range(0, len(texts), 100) for x in enc.encode(texts[at : at + 100])]
+        for t, ids in zip(texts, got, strict=True):
+            assert ids == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert len(next(P.Encoder(PATH).encode(["hello <|endoftext|> end"]))) == 4 * 4
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, t = P.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.parts
+    assert list(enc.encode(["Some words, here "])) == [np.array(t.encode("Some words, here ", add_special_tokens=False).ids, "<u4").tobytes()]
 
 
 def test_placement_minimises_the_sum_of_squares():
@@ -47,7 +57,7 @@ def test_placement_minimises_the_sum_of_squares():
         assert all(len(v) == s.count[h] for h, v in s.open.items())
 
 
-def check(pieces, docs, tokenizer):
+def check(pieces, docs, tokenizer, window=2048):
     by, seqs = {}, {}
     for r in pieces:
         by.setdefault(r["doc_id"], []).append(r)
@@ -65,7 +75,7 @@ def check(pieces, docs, tokenizer):
         for r in sorted(s, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at == 2048 or at & (at - 1) == 0
+        assert at == window or at & (at - 1) == 0
 
 
 def test_pack(docs, rows, empty, tokenizer):
@@ -73,3 +83,37 @@ def test_pack(docs, rows, empty, tokenizer):
     check(P.pack(unique, PATH).collect(), {r[0]: r[1] for r in rows if r[0] is not None}, tokenizer)
     assert P.pack(docs, PATH).where("start = 0").count() == len(rows)
     assert P.pack(empty, PATH).count() == 0
+
+
+def test_open_windows_are_carried(spark, empty, tokenizer):
+    """What partitions leave open is packed on: the level arrays of both stages place most of it, whatever the partitions."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 150)))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    pieces = P.pack(docs, PATH, 128).cache()
+    check(pieces.collect(), dict(rows), tokenizer, 128)
+    by = lambda x: {r["placed_by"]: r["sum(length)"] for r in x.groupBy("placed_by").sum("length").collect()}
+    many, one = by(pieces), by(P.pack(docs.coalesce(1), PATH, 128))
+    assert set(many) <= set(P.PLACED) and many["carried"] > many["cut"] and many["cut"] < 2 * one["cut"]
+    with_ids = P.pack(docs, PATH, 128, with_ids=True).collect()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in with_ids)
+
+
+def test_brute_force_of_both_stages():
+    """Every token of every document once, windows full or powers of two, and carried pieces placed whole."""
+    rng = random.Random(9)
+    for window in (16, 64):
+        docs = [(i, np.arange(rng.randint(1, 3 * window), dtype="<u4").tobytes()) for i in range(400)]
+        first = list(P.pack_stream(iter(docs), window))
+        open_ = [s for how, s in first if how < 0]
+        assert all(0 < sum(len(p[2]) for p in s) < 4 * window for s in open_)
+        last = list(P.pack_open((p for s in open_ for p in s), window))
+        held = {}
+        for how, s in [x for x in first if x[0] >= 0] + last:
+            n = sum(len(p[2]) for p in s) // 4
+            assert n == window or how == 3 and n & (n - 1) == 0
+            for doc_id, start, ids, tokens in s:
+                held.setdefault(doc_id, []).append((start, ids))
+        assert {k: b"".join(x for _, x in sorted(v)) for k, v in held.items()} == dict(docs)
+        whole = {id(p) for s in open_ for p in s}
+        assert all(id(p) in whole for how, s in last if how == 2 for p in s)
