@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table
 
@@ -94,28 +95,48 @@ def fold(events: list[tuple]) -> list[tuple[str, str]]:
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
-    """The log of a table of finished turns (conv_id, turn, role, text): every row is a message of its own."""
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"),
-        F.lit(None).cast("string").alias("message"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
+    """A log that a table of finished turns (conv_id, turn, role, text) could have come from, whose fold is those turns.
+
+    An assistant's turn opens with a streamed draft of its first half, is regenerated, and streams its text in three deltas; a
+    user's turn is sent without its end and then edited; a turn of any other role is one message. seq is a struct of turn, role, a hash of the
+    text, a row number (rows repeated in full are turns of their own) and the step in the turn. Null role and null text are
+    empty; conv_id keeps its type; other columns, whatever their names, are not read.
+    """
+    text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("role").cast("string")
+    x = conversations.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    third, half = F.floor(F.length("text") / 3).cast("int"), F.floor(F.length("text") / 2).cast("int")
+    one, none = F.lit(1), F.lit(None).cast("string")
+    cut = lambda start, length: F.substring("text", start, length)
+    rest = F.expr("substring(text, 2 * cast(floor(length(text) / 3) as int) + 1)")
+    event = lambda step, kind, role, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    streamed = F.array(
+        event(0, "delta", F.col("role"), cut(one, half)), event(1, "regenerate", none, none), event(2, "delta", none, cut(one, third)),
+        event(3, "delta", none, cut(third + 1, third)), event(4, "delta", none, rest),
     )
+    edited = F.array(event(0, "message", F.col("role"), cut(one, half)), event(1, "edit", none, F.col("text")))
+    log = F.when(F.col("role") == "assistant", streamed).when(F.col("role") == "user", edited).otherwise(F.array(event(0, "message", F.col("role"), F.col("text"))))
+    e = x.withColumn("hash", F.xxhash64("text")).select("conv_id", "turn", F.col("role").alias("of"), "hash", "row", F.explode(log).alias("e"))
+    seq = F.struct(F.col("turn").isNull().alias("late"), "turn", "of", "hash", "row", "e.step")
+    return e.select("conv_id", seq.alias("seq"), "e.kind", F.col("row").cast("string").alias("message"), "e.role", "e.text")
 
 
 def format_chats(events: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (array of start and end in characters) of every conversation of ``events``
     (conv_id, seq, kind, message, role, text).
 
-    Events are ordered by seq (null last), then kind, message, role, text, so that ties have one order. Null role and null
-    text are empty; rows with a null conv_id are one conversation; repeated rows count as often as they stand; an empty
-    table gives no rows.
+    Events are ordered by seq (of any type; null last), then kind, message, role, text, so that ties have one order. Null role
+    and null text are empty; rows with a null conv_id are one conversation; repeated rows count as often as they stand; other
+    columns, whatever their names, are not read; an empty table gives no rows. A conversation is one text, so one task folds it,
+    and its memory is bounded by the longest conversation.
     """
+    id_type = events.schema["conv_id"].dataType
     cols = ["conv_id", "seq", "kind", "message", "role", "text"]
     sorted_ = (
         events.select(*cols).repartition("conv_id")
         .sortWithinPartitions("conv_id", F.col("seq").asc_nulls_last(), "kind", "message", "role", "text")
     )
     span = pa.list_(pa.int64())
-    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("formatted", T.StringType()), T.StructField("loss_spans", T.ArrayType(T.ArrayType(T.LongType())))])
+    schema = T.StructType([T.StructField("conv_id", id_type), T.StructField("formatted", T.StringType()), T.StructField("loss_spans", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def conversations(batches) -> Iterator[tuple]:
         conv, held, any_ = None, [], False
@@ -143,13 +164,15 @@ def format_chats(events: DataFrame) -> DataFrame:
 
     def batch(out):
         a, b, c = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.list_(span))], ["conv_id", "formatted", "loss_spans"])
+        return pa.RecordBatch.from_arrays([pa.array(a, to_arrow_type(id_type)), pa.array(b, pa.string()), pa.array(c, pa.list_(span))], ["conv_id", "formatted", "loss_spans"])
 
     return sorted_.mapInArrow(run, schema)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from format_chats: turns and loss text, as counts and digests."""
+    id_type = formatted.schema["conv_id"].dataType
+    numbers = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches):
         for b in batches:
@@ -159,14 +182,15 @@ def digests(formatted: DataFrame) -> DataFrame:
                 loss = "".join(unescape(text[s:e]) for s, e in spans)
                 told = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
                 rows.append((conv, len(turns), told, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            kinds = [to_arrow_type(id_type), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, T.StructType([T.StructField("conv_id", id_type), *T._parse_datatype_string(numbers).fields]))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns become a log of deltas, edits and regenerations, and come back from it."""
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)

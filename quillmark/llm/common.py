@@ -20,13 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, with underscores before it until it is none of ``taken``, whatever the case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a temporary folder if all runs on this machine; on a
+    cluster an error, as executors could not share it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillmark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -70,6 +81,31 @@ class Scratch:
         _delete(self.spark, path)
         _scratch[:] = [x for x in _scratch if x[1] != path]
 
+    def close(self) -> None:
+        """Delete every table of this scratch; what reads them must be done."""
+        for _, path in [x for x in _scratch if x[1].startswith(self.root + "/")]:
+            self.drop(path)
+
+
+class Release:
+    """A context that deletes, at its end, the scratch tables written inside it but those named with ``spare``: for steps whose
+    result has been written elsewhere."""
+
+    def __init__(self):
+        self.spared: set[str] = set()
+
+    def spare(self, path: str) -> None:
+        self.spared.add(path)
+
+    def __enter__(self) -> Release:
+        self.before = {path for _, path in _scratch}
+        return self
+
+    def __exit__(self, *_) -> None:
+        for spark, path in [x for x in _scratch if x[1] not in self.before and x[1] not in self.spared]:
+            _delete(spark, path)
+            _scratch[:] = [x for x in _scratch if x[1] != path]
+
 
 def slices(batches, rows: int = 512):
     """Record batches in smaller pieces, so that few texts are Python objects at a time."""

@@ -3,7 +3,9 @@
 A template is license wording with markup: ``<<beginOptional>> ... <<endOptional>>``
 may be absent, ``<<var;name=...;words=lo-hi>>`` stands for any lo to hi words, and
 all other wording is mandatory. Templates compile into token automata; a text
-is accepted where one of them matches its mandatory wording exactly.
+is accepted where one of them matches its mandatory wording exactly. A text that
+holds wording in part scores the longest run of it, from wherever in the
+template it begins.
 """
 
 from __future__ import annotations
@@ -74,6 +76,8 @@ class Automaton:
     mandatory: list[int] = field(default_factory=list)
     final: int = 0
     required: list[bytes] = field(default_factory=list)
+    #: Neighbouring mandatory words -> the states before the first of them.
+    pairs: dict[tuple[bytes, bytes], list[int]] = field(default_factory=dict)
     _moves: dict = field(default_factory=dict)
 
     def state(self, mandatory: int) -> int:
@@ -108,6 +112,46 @@ class Automaton:
     def start(self) -> frozenset:
         return self.closure([0])
 
+    def find_pairs(self) -> None:
+        for s, edges in enumerate(self.words):
+            for word, to in edges.items():
+                if self.mandatory[to] > self.mandatory[s]:
+                    for t in self.closure([to]):
+                        for second, end in self.words[t].items():
+                            if self.mandatory[end] > self.mandatory[t]:
+                                self.pairs.setdefault((word, second), []).append(s)
+
+    def longest_run(self, tokens: list[bytes], hits: list[int]) -> int:
+        """The most mandatory words read in one go by any path of the automaton, from any state to any other. ``hits`` are the
+        places of ``pairs``; a run of fewer than two words is none."""
+        best, at, live = 0, 0, {}
+        for hit in hits:
+            at = max(at, hit)
+            while True:
+                word, to = tokens[at], {}
+                for s, n in live.items():
+                    end = self.words[s].get(word)
+                    for t, m in ([(end, n + self.mandatory[end] - self.mandatory[s])] if end is not None else []) + [(t, n) for t in self.any_[s]]:
+                        if to.get(t, -1) < m:
+                            to[t] = m
+                if at + 1 < len(tokens):
+                    for s in self.pairs.get((word, tokens[at + 1]), ()):
+                        to[self.words[s][word]] = max(1, to.get(self.words[s][word], 0))
+                todo = list(to)
+                while todo:
+                    s = todo.pop()
+                    for t in self.skip[s]:
+                        if to.get(t, -1) < to[s]:
+                            to[t] = to[s]
+                            todo.append(t)
+                live, at = to, at + 1
+                best = max(best, max(live.values(), default=0))
+                if not live or at >= len(tokens):
+                    break
+            if at >= len(tokens):
+                break
+        return best if best > 1 else 0
+
 
 def compile_template(label: str, template: str) -> Automaton:
     a = Automaton(label)
@@ -155,6 +199,7 @@ def compile_template(label: str, template: str) -> Automaton:
     if optional or not n:
         raise ValueError(f"template of {label}: optional region left open, or no mandatory wording")
     a.final = at
+    a.find_pairs()
     return a
 
 
@@ -162,13 +207,17 @@ class Scanner:
     def __init__(self, templates=None, base=None):
         self.automata = [compile_template(k, t) for k, v in (templates or TEMPLATES).items() for t in v]
         self.base = [(b" " + p.encode() + b" ", label) for p, label in (base or BASE).items()]
-        #: A text without an automaton's longest mandatory word cannot be accepted, nor hold it in part worth telling.
+        #: A text without an automaton's longest mandatory word cannot be accepted.
         self.anchors = [max(a.required, key=len) for a in self.automata]
         self.base_anchors = [max(p.split(), key=len) for p, _ in self.base]
-
-    def matches(self, tokens: list[bytes], a: Automaton) -> tuple[list[tuple[int, int]], float]:
-        """Spans (first word, words) accepted, leftmost and longest, and the largest share of mandatory wording met."""
-        start, out, best, total, past = a.start, [], 0, len(a.required), 0
+        self.pairs: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, a in enumerate(self.automata):
+            for p in a.pairs:
+                self.pairs.setdefault(p, []).append(i)
+
+    def matches(self, tokens: list[bytes], a: Automaton) -> list[tuple[int, int]]:
+        """Spans (first word, words) accepted, leftmost and longest."""
+        start, out, past = a.start, [], 0
         firsts = {w for s in start for w in a.words[s]}
         open_ = any(a.any_[s] for s in start)
         for i, w in enumerate(tokens):
@@ -179,13 +228,21 @@ class Scanner:
                 states = a.step(states, tokens[j])
                 if not states:
                     break
-                best = max(best, max(a.mandatory[s] for s in states))
                 if a.final in states:
                     end = j + 1
             if end:
                 out.append((i, end - i))
                 past = end
-        return out, best / total
+        return out
+
+    def share(self, tokens: list[bytes]) -> float:
+        """The largest share of a template's mandatory words that the text holds in one run, gaps in neither."""
+        pairs, hits = self.pairs, {}
+        for i, p in enumerate(zip(tokens, tokens[1:])):
+            if p in pairs:
+                for a in pairs[p]:
+                    hits.setdefault(a, []).append(i)
+        return max((self.automata[a].longest_run(tokens, h) / len(self.automata[a].required) for a, h in hits.items()), default=0.0)
 
     def scan(self, text: bytes) -> dict:
         """n_words, places (first words of base phrases), base_labels, labels, spans (label, first word, words), score."""
@@ -205,14 +262,12 @@ class Scanner:
                     at = joined.find(phrase, at + 1)
         for a, anchor in zip(self.automata, self.anchors):
             if anchor in folded:
-                spans, share = self.matches(tokens, a)
+                spans = self.matches(tokens, a)
                 out["spans"] += [(a.label, i, n) for i, n in spans]
-                out["score"] = max(out["score"], share)
                 if spans:
                     out["labels"].add(a.label)
         out["labels"] |= out["base_labels"]
-        if out["base_labels"]:
-            out["score"] = 1.0
+        out["score"] = 1.0 if out["labels"] else self.share(tokens)
         return out
 
 
@@ -221,9 +276,11 @@ _SCAN_SCHEMA = "n_words long, n_base long, first_word long, last_word long, base
 
 def scan_licenses(docs: DataFrame, templates=None, base=None) -> DataFrame:
     """doc_id and, for the whole text of every row, n_words, places of base phrases (n_base, first_word, last_word),
-    base_labels, labels, score (largest share of a template's mandatory wording found in order; 1: accepted), spans.
+    base_labels, labels, score, spans. score is 1 where a template accepts or a base phrase stands, else the largest share of a
+    template's mandatory words that stand in one run, wherever in the template it begins and ends.
 
-    Null text is empty: no words, null first and last, empty labels, score 0. Repeated rows are scanned each.
+    Null text is empty: no words, null first and last, empty labels, score 0. Repeated rows are scanned each. Ids may be of any
+    type (others than text are cast to long); other columns, whatever their names, are not read. An empty table gives no rows.
     """
     id_type = "string" if dict(docs.dtypes)["doc_id"] == "string" else "long"
     span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64())])

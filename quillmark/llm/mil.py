@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, table, text_bytes
+from .common import fresh, id_crc, table, text_bytes
 
 #: Words a passage, hashed buckets of character-class trigrams, surface measures of a passage.
 PASSAGE_WORDS, BUCKETS, SURFACE = 64, 96, 6
@@ -116,7 +116,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
         order, lr = rng.permutation(len(bags)), rate * (1 - epoch / epochs)
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            x = np.concatenate([bags[i] for i in pick])
+            x = np.concatenate([bags[i] for i in pick]).astype(np.float64)
             starts = np.cumsum([0, *(len(bags[i]) for i in pick[:-1])])
             step += 1
             for k, g in model.gradients(x, starts, labels[pick]).items():
@@ -126,12 +126,13 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, passages: int = 64) -> Model:
-    """Fit on labelled documents whose crc32(doc_id) mod 5 is not 0.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, passages: int = 100_000) -> Model:
+    """Fit on labelled documents whose crc32(doc_id) mod 5 is not 0, on every passage of each.
 
-    ``sample`` bounds the labelled rows (chosen by hash of the id) and ``passages`` those of one training document (evenly
-    spaced), so what comes to the driver is bounded whatever the tables hold. Labels that are null are none; where an id has
-    several labels, their rounded mean counts. ``labels`` needs doc_id and quality.
+    ``sample`` bounds the labelled rows, taken in order of a hash of id and text, and ``passages`` what they hold together: a row
+    that would go beyond it is passed over. So what comes to the driver is bounded whatever the tables hold. Labels that are
+    null are none; where an id has several labels, their rounded mean counts; rows alike in id and text are one. Ids may be of
+    any type. ``labels`` needs doc_id and quality; other columns of either table are not read.
     """
     spark = docs.sparkSession
     told = labels.where("quality is not null and doc_id is not null").where(id_crc(F.col("doc_id")) % 5 != 0)
@@ -141,33 +142,41 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, passages: int
     keep = min(1.0, 1.2 * sample / n)
     dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) < int(keep * 1_000_000) + 1
     ids = told.where(dice).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("y")).orderBy(F.xxhash64("doc_id")).limit(sample).collect()
-    known = spark.createDataFrame([(r["doc_id"], r["y"]) for r in ids], "_id long, _y int")
+    known = F.broadcast(spark.createDataFrame([(str(r["doc_id"]), r["y"]) for r in ids], "_id string, _y int"))  # at most `sample` rows
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, F.col("id") == F.col("_id"))
+    rows = rows.select("id", "text", "_y", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"))
+    words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))
+    sized = rows.select("id", "h", "t", words.alias("n")).distinct().orderBy("h", "id", "t").limit(sample).collect()
+    held, picks = 0, []
+    for r in sized:
+        n = max(1, -(-r["n"] // PASSAGE_WORDS))
+        if held + n <= passages:
+            held += n
+            picks.append((r["id"], r["t"]))
+    chosen = F.broadcast(spark.createDataFrame(picks, "_pick string, _t long"))  # at most `sample` rows
 
     def run(batches):
         for b in batches:
             rows = []
             for y, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 x = encode_passages(t)
-                x = x[np.linspace(0, len(x) - 1, min(passages, len(x))).astype(int)]
                 rows.append((y, len(x), x.tobytes()))
             ys, ns, xs = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int32()), pa.array(xs, pa.binary())], ["y", "n", "x"])
 
-    got = (
-        docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # at most `sample` rows
-        .select("_y", "text").mapInArrow(run, "y int, n int, x binary").limit(2 * sample).collect()
-    )
+    told = rows.join(chosen, (F.col("id") == F.col("_pick")) & (F.col("t") == F.col("_t"))).dropDuplicates(["id", "t"])
+    got = told.select("_y", "text").mapInArrow(run, "y int, n int, x binary").collect()
     got.sort(key=lambda r: (r["y"], r["x"]))  # the order of arrival must not matter
-    bags = [np.frombuffer(r["x"], np.float32).reshape(r["n"], DIM).astype(np.float64) for r in got]
+    bags = [np.frombuffer(r["x"], np.float32).reshape(r["n"], DIM) for r in got]
     return fit(bags, np.array([float(r["y"]) for r in got]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a double ``quality_score`` (a column of that name is replaced). Null and empty text is one empty passage."""
-    @F.pandas_udf("double")
-    def run(texts):
-        import pandas as pd
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """``docs`` with a double ``name`` (a column of that name is replaced). Null and empty text is one empty passage; equal texts
+    score alike; other columns pass; an empty table stays empty."""
 
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
         bags, rows, held = [], [], 0
 
@@ -177,17 +186,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out[rows] = model.forward(np.concatenate(bags).astype(np.float64), starts)[0]
                 bags.clear(), rows.clear()
 
-        for i, t in enumerate(texts):
-            x = encode_passages((t or "").encode())
-            bags.append(x), rows.append(i)
-            held += len(x)
-            if held > 8192:
-                flush()
-                held = 0
+        for at in range(0, len(texts), 512):
+            for i, t in enumerate(text_bytes(texts.slice(at, 512)), at):
+                x = encode_passages(t)
+                bags.append(x), rows.append(i)
+                held += len(x)
+                if held > 8192:
+                    flush()
+                    held = 0
         flush()
-        return pd.Series(out)
+        return pa.array(out)
 
-    return docs.withColumn("quality_score", run(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    return docs.withColumn(name, run(F.coalesce(docs["text"].cast("string"), F.lit(""))))
 
 
 THRESHOLD = 0.3
@@ -203,8 +213,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier learnt from ``labels`` scores at ``threshold`` or more, with their own columns."""
-    if "quality_score" in docs.columns:
-        aside = docs.withColumnRenamed("quality_score", "_quality_score")
-        return keep_quality(aside, labels, threshold).withColumnRenamed("_quality_score", "quality_score")
-    return score(docs, train(docs, labels)).where(F.col("quality_score") >= threshold).drop("quality_score")
+    """The rows of ``docs`` that the classifier learnt from ``labels`` scores at ``threshold`` or more, with their own columns
+    alone, whatever their names. Null and empty text counts as one empty passage; repeated rows stay or go alike; without labels
+    every row has the same score; an empty table stays empty."""
+    name = fresh("quality_score", docs.columns)
+    return score(docs, train(docs, labels), name).where(F.col(name) >= threshold).drop(name)

@@ -56,7 +56,7 @@ class Encoder:
     blanks meet other white space, the words around are encoded together; every text takes this same way. Under a tokenizer whose ids do
     not part at blanks, whole texts are encoded."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, table
+from .common import WORD_SEPARATORS, fresh, table
 
 
 @dataclass(frozen=True)
@@ -150,9 +150,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "strict-1") -> DataFrame:
-    """The rows of ``docs`` that pass ``policy``, with their own columns alone."""
-    bits = ledger(docs, measured="_measured_rules", failed="_failed_rules")
-    return bits.where(passes(F.col("_failed_rules"), policy)).drop("_measured_rules", "_failed_rules")
+    """The rows of ``docs`` that pass ``policy``, with their own columns alone, whatever their names. Null and empty text fail
+    few_words and go; repeated rows stay or go alike; an empty table stays empty."""
+    measured, failed = fresh("measured", docs.columns), fresh("failed_rules", docs.columns)
+    return ledger(docs, measured=measured, failed=failed).where(passes(F.col(failed), policy)).drop(measured, failed)
 
 
 ORACLE = r"""
