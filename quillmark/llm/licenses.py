@@ -123,7 +123,7 @@ class Automaton:
 
     def longest_run(self, tokens: list[bytes], hits: list[int]) -> int:
         """The most mandatory words read in one go by any path of the automaton, from any state to any other. ``hits`` are the
-        places of ``pairs``; a run of fewer than two words is none."""
+        places of ``pairs``: a run begins with two mandatory words side by side."""
         best, at, live = 0, 0, {}
         for hit in hits:
             at = max(at, hit)
@@ -277,7 +277,7 @@ _SCAN_SCHEMA = "n_words long, n_base long, first_word long, last_word long, base
 def scan_licenses(docs: DataFrame, templates=None, base=None) -> DataFrame:
     """doc_id and, for the whole text of every row, n_words, places of base phrases (n_base, first_word, last_word),
     base_labels, labels, score, spans. score is 1 where a template accepts or a base phrase stands, else the largest share of a
-    template's mandatory words that stand in one run, wherever in the template it begins and ends.
+    template's mandatory words that stand in one run, wherever in the template it begins (with two of them side by side) and ends.
 
     Null text is empty: no words, null first and last, empty labels, score 0. Repeated rows are scanned each. Ids may be of any
     type (others than text are cast to long); other columns, whatever their names, are not read. An empty table gives no rows.

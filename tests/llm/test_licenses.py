@@ -64,29 +64,22 @@ def test_query(docs, rows, empty):
 
 
 def plain_share(tokens, a):
-    """The longest run of mandatory words by trying every state at every place."""
+    """The longest run of mandatory words that begins with two of them side by side, by trying every state at every place."""
     best = 0
     for i in range(len(tokens)):
         for s in range(len(a.words)):
-            states = {(t, 0) for t in [s]}
-            first = True
-            for w in tokens[i:]:
+            states = {(s, 0)}
+            for k, w in enumerate(tokens[i:]):
                 nxt = set()
                 for t, n in states:
                     if w in a.words[t]:
                         to = a.words[t][w]
-                        m = n + a.mandatory[to] - a.mandatory[t]
-                        nxt.add((to, m))
-                    if not first:
-                        nxt |= {(to, n) for to in a.any_[t]}
-                if first:
-                    nxt = {(t, n) for t, n in nxt if n == 1}
-                first = False
-                states = {(u, n) for t, n in nxt for u in a.closure([t])}
-                best = max([best, *(n for _, n in states)])
-                if not states:
-                    break
-    return (best if best > 1 else 0) / len(a.required)
+                        nxt.add((to, n + a.mandatory[to] - a.mandatory[t]))
+                    nxt |= {(to, n) for to in a.any_[t]}
+                states = {(u, n) for t, n in nxt if k > 1 or n == k + 1 for u in a.closure([t])}
+                if k:
+                    best = max([best, *(n for _, n in states)])
+    return best / len(a.required)
 
 
 def test_score_is_the_longest_run():
@@ -116,8 +109,8 @@ BASE_SQL = r"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower_az, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
 p AS (SELECT * FROM (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')) v(words, label)),
-h AS (SELECT doc_id, i - 1 AS at, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), p WHERE w[i:i + len(words) - 1] = words)
-SELECT t.doc_id, len(w)::BIGINT, count(at), min(at), max(at), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM t LEFT JOIN h ON t.doc_id = h.doc_id GROUP BY t.doc_id, w
+h AS (SELECT doc_id, i - 1 AS pos, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), p WHERE w[i:i + len(words) - 1] = words)
+SELECT t.doc_id, len(w)::BIGINT, count(pos), min(pos), max(pos), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM t LEFT JOIN h ON t.doc_id = h.doc_id GROUP BY t.doc_id, w
 """
 
 
