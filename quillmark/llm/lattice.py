@@ -4,8 +4,10 @@ Pieces of an existing vocabulary score all segmentations of a text: a forward
 recursion in log space sums over them and returns the text's marginal
 probability. As pieces that begin a word begin with the word mark, the lattice
 of a text falls apart into those of its words, so each distinct word is run
-through the recursion once. Piece probabilities come from the training
-documents' words, with the vocabulary's own scores as the prior.
+through the recursion once. The vocabulary's own scores weigh the segmentations
+at first; the pieces that are then expected in the training documents' words,
+over all their segmentations (forward and backward), weigh them anew beside
+those scores, for a few rounds.
 
 Counts and word scores are tables that grow with the corpus and are never
 gathered; only the ``head`` most frequent words (a bound, not a cut: the rest is
@@ -26,6 +28,24 @@ from .common import Scratch, id_crc, slices, table, text_bytes
 
 MARK = "▁"
 LN10 = math.log(10)
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _mixed(code_points: np.ndarray) -> np.ndarray:
+    x = code_points.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
+
+
+def _prefix_hashes(code_points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of mixed code points times powers of a base, and the inverse powers: the hash of any stretch a to b is
+    (sums[b] - sums[a]) * inverse[a], modulo 2 to the 64."""
+    n = len(code_points)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _BASE)]), dtype=np.uint64)[:n]
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
+    return np.concatenate([[np.uint64(0)], np.cumsum(_mixed(code_points) * powers, dtype=np.uint64)]), inverse
 
 
 class Vocabulary:
@@ -47,9 +67,15 @@ class Vocabulary:
             self.prior[i] = 1 / (10 - m.get_score(i))
         self.prior[self.byte_ids] = self.prior[plain].min()
         self.prior /= self.prior.sum()
+        hashes = np.array([self._hash(p) for p in self.ids], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.hash_ids = hashes[order], np.array(list(self.ids.values()), np.int64)[order]
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces of one hash")
 
-    def pieces(self, words: list[str]) -> list[list[int]]:
-        return self.model.encode(words, num_threads=1)
+    @staticmethod
+    def _hash(piece: str) -> int:
+        return int(_prefix_hashes(np.array([ord(c) for c in piece], np.uint32))[0][-1])
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -61,42 +87,122 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def piece_logs(vocab: Vocabulary, counts: dict[int, int], ends: int, prior_weight: float = 1000.0) -> tuple[np.ndarray, float]:
-    """Natural logs of piece probabilities and of the end of a text, which share one distribution."""
+def piece_logs(vocab: Vocabulary, counts: dict[int, float], ends: int, prior_share: float = 0.1) -> tuple[np.ndarray, float]:
+    """Natural logs of piece probabilities and of the end of a text, which share one distribution. The vocabulary's own scores
+    weigh ``prior_share`` of what the counts weigh, and as much as 1000 pieces at least."""
     n = np.zeros(vocab.size)
     for i, c in counts.items():
         n[i] += c
-    total = n.sum() + prior_weight + ends + 1
+    weight = max(1000.0, prior_share * n.sum())
+    total = n.sum() + weight + ends + 1
     with np.errstate(divide="ignore"):
-        return np.log((n + prior_weight * vocab.prior) / total), math.log((ends + 1) / total)
+        return np.log((n + weight * vocab.prior) / total), math.log((ends + 1) / total)
 
 
 class Lattice:
+    """The lattices of many words at once: positions of all words advance together, the longest words first."""
+
     def __init__(self, vocab: Vocabulary, logs: np.ndarray):
-        self.log_of = {p: float(logs[i]) for p, i in vocab.ids.items() if logs[i] > -math.inf}
-        self.bytes_ = [float(logs[i]) for i in vocab.byte_ids]
-        self.longest = vocab.longest
-
-    def word(self, word: str) -> float:
-        """Log probability of a word summed over its segmentations. A character that is no piece is spelt in bytes."""
-        s, get, longest = MARK + word, self.log_of.get, self.longest
-        exp, log = math.exp, math.log
-        alpha = [0.0]
-        for i in range(1, len(s) + 1):
-            best, terms = -math.inf, []
-            for j in range(max(0, i - longest), i):
-                lp = get(s[j:i])
-                if lp is not None:
-                    lp += alpha[j]
-                    terms.append(lp)
-                    if lp > best:
-                        best = lp
-            if s[i - 1] not in self.log_of:
-                lp = alpha[i - 1] + sum(self.bytes_[b] for b in s[i - 1].encode())
-                terms.append(lp)
-                best = max(best, lp)
-            alpha.append(best if len(terms) == 1 else best + log(sum([exp(t - best) for t in terms])))
-        return alpha[-1]
+        self.vocab, self.logs = vocab, logs
+
+    def _build(self, words: list[str]) -> None:
+        v, n = self.vocab, len(words)
+        self.order = np.argsort([-len(w) for w in words], kind="stable")
+        text = "".join([MARK + words[i] for i in self.order])
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.size = np.array([len(words[i]) + 1 for i in self.order])
+        self.start = np.append(0, np.cumsum(self.size)[:-1]).astype(np.int64)
+        self.of = np.repeat(np.arange(n), self.size)
+        place = np.arange(len(chars)) - self.start[self.of]
+        sums, inverse = _prefix_hashes(chars)
+        # weight[l - 1, e]: log probability of the piece of l characters that ends with character e.
+        self.weight = np.full((v.longest, len(chars)), -np.inf)
+        self.arcs = []
+        for length in range(1, min(v.longest, int(self.size[0])) + 1):
+            e = np.flatnonzero(place >= length - 1)
+            a = e - (length - 1)
+            h = (sums[e + 1] - sums[a]) * inverse[a]
+            at = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
+            ok = v.hashes[at] == h
+            e, piece = e[ok], v.hash_ids[at[ok]]
+            self.weight[length - 1, e] = self.logs[piece]
+            self.arcs.append((length, e, piece))
+        # A character that is no piece is spelt in bytes.
+        bare = np.ones(len(chars), bool)
+        bare[self.arcs[0][1]] = False
+        self.bare = np.flatnonzero(bare)
+        self.bare_chars, which = np.unique(chars[self.bare], return_inverse=True)
+        spelt = np.array([sum(self.logs[v.byte_ids[b]] for b in chr(c).encode()) for c in self.bare_chars])
+        if len(self.bare):
+            self.weight[0, self.bare] = spelt[which]
+        self.bare_which = which
+
+    @staticmethod
+    def _sum(t: np.ndarray) -> np.ndarray:
+        top = t.max(axis=0)
+        return top + np.log(np.exp(t - top).sum(axis=0))
+
+    def _forward(self) -> None:
+        """alpha[start + word + i]: log probability of the first i characters of a word."""
+        self.base = self.start + np.arange(len(self.start))
+        self.alpha = np.zeros(len(self.of) + len(self.start))
+        back = np.arange(1, self.vocab.longest + 1)[:, None]
+        longer = np.searchsorted(-self.size, -np.arange(1, self.size[0] + 1), "right")  # words of at least i characters
+        for i, k in enumerate(longer.tolist(), 1):
+            m, b = min(i, self.vocab.longest), self.base[:k] + i
+            self.alpha[b] = self._sum(self.weight[:m, self.start[:k] + (i - 1)] + self.alpha[b - back[:m]])
+        self.total = self.alpha[self.base + self.size]
+
+    def _backward(self) -> None:
+        """beta: log probability of what follows a position."""
+        self.beta = np.zeros_like(self.alpha)
+        on = np.arange(1, self.vocab.longest + 1)[:, None]
+        longer = np.searchsorted(-self.size, -np.arange(1, self.size[0] + 1), "right")
+        for j, k in enumerate(longer.tolist(), 1):
+            m, at = min(j, self.vocab.longest), self.size[:k] - j
+            w = self.weight[on[:m] - 1, self.start[:k] + at + on[:m] - 1]
+            self.beta[self.base[:k] + at] = self._sum(w + self.beta[self.base[:k] + at + on[:m]])
+
+    def _blocks(self, words: list[str], most: int = 60_000):
+        at = 0
+        while at < len(words):
+            to, n = at, 0
+            while to < len(words) and (to == at or n + len(words[to]) < most):
+                n += len(words[to]) + 1
+                to += 1
+            yield at, to
+            at = to
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word summed over its segmentations."""
+        out = np.zeros(len(words))
+        for a, b in self._blocks(words):
+            self._build(words[a:b])
+            self._forward()
+            out[a + self.order] = self.total
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words, each as often as it counts, over all their segmentations."""
+        out = np.zeros(self.vocab.size)
+        for a, b in self._blocks(words):
+            self._build(words[a:b])
+            self._forward()
+            self._backward()
+            n = counts[a:b][self.order]
+
+            def share(e, length):
+                w = self.of[e]
+                return n[w] * np.exp(self.alpha[e + w + 1 - length] + self.weight[length - 1, e] + self.beta[e + w + 1] - self.total[w])
+
+            for length, e, piece in self.arcs:
+                out += np.bincount(piece, share(e, length), self.vocab.size)
+            if len(self.bare):
+                sums = np.bincount(self.bare_which, share(self.bare, 1), len(self.bare_chars))
+                for c, x in zip(self.bare_chars, sums):
+                    for byte in chr(c).encode():
+                        out[self.vocab.byte_ids[byte]] += x
+        return out
 
 
 def count_words(docs: DataFrame, is_training) -> DataFrame:
@@ -128,13 +234,17 @@ def count_words(docs: DataFrame, is_training) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lattice_scores(docs: DataFrame, is_training, vocabulary_path: str, head: int = 50_000) -> DataFrame:
-    """One row per row of ``docs`` (doc_id and text are read): doc_id, training, n_tokens, n_known, train_tokens,
-    base_score, score (log10 probabilities; base: words with add-one counts, score: the lattice).
+#: Expected counts are added up in units of this, as whole numbers, whose sum does not depend on the order.
+_UNIT = 2.0**-20
+
+
+def lattice_scores(docs: DataFrame, is_training, vocabulary_path: str, head: int = 50_000, rounds: int = 2, prior_share: float = 0.1) -> DataFrame:
+    """One row per row of ``docs`` (doc_id and text are read; other columns, whatever their names, are not): doc_id, training,
+    n_tokens, n_known, train_tokens, base_score, score (log10 probabilities; base: words with add-one counts, score: the lattice).
 
     Tokens are the words of the whole text and its end. Null and empty text is its end alone. Repeated rows and rows with
     equal or null doc_id are scored each. Without training documents counts are zero and the prior alone speaks. An empty
-    table gives no rows.
+    table gives no rows. ``rounds``: times that pieces are expected in all training words and weighed anew.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -144,24 +254,27 @@ def lattice_scores(docs: DataFrame, is_training, vocabulary_path: str, head: int
     ends = rows.where("training").count()
     total, types = n_words + ends, n_types + (ends > 0)
 
-    # Piece counts: each distinct training word cut once, weighted by its count; at most one row a piece comes back.
-    def cut(batches):
-        vocab, got = vocabulary(vocabulary_path), Counter()
+    # Expected pieces: each distinct training word once, weighted by its count; at most one row a piece comes back.
+    vocab = vocabulary(vocabulary_path)
+    logs, end_log = piece_logs(vocab, {}, ends, prior_share)
+
+    def expect(batches):
+        lattice, got = Lattice(vocabulary(vocabulary_path), logs), 0.0
         for b in batches:
-            words, ns = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for pieces, n in zip(vocab.pieces(words), ns):
-                for p in pieces:
-                    got[p] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array(list(got.values()), pa.int64())], ["piece", "n"])
-
-    pieces = counts.where("n > 0").mapInArrow(cut, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    logs, end_log = piece_logs(vocabulary(vocabulary_path), {r["piece"]: r["n"] for r in pieces}, ends)
+            got = got + lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(float))
+        units = np.rint(np.broadcast_to(got, lattice.vocab.size) / _UNIT).astype(np.int64)
+        found = np.flatnonzero(units)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(units[found])], ["piece", "n"])
+
+    for _ in range(rounds):
+        pieces = counts.where("n > 0").mapInArrow(expect, "piece int, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
+        logs, end_log = piece_logs(vocab, {r["piece"]: float(r["n"]) * _UNIT for r in pieces}, ends, prior_share)
     floor = math.log10(total + types + 1)
 
     def weigh(batches):
         lattice = Lattice(vocabulary(vocabulary_path), logs)
         for b in batches:
-            out = [lattice.word(w) / LN10 for w in b.column(0).to_pylist()]
+            out = lattice.words(b.column(0).to_pylist()) / LN10
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["word", "n", "log10_p"])
 
     words = scratch.keep(counts.mapInArrow(weigh, "word string, n long, log10_p double"))

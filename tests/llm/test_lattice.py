@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -10,24 +11,55 @@ from quillmark.llm import lattice as L
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def all_segmentations(lat, s):
-    """Probability summed over segmentations, by recursion over prefixes of pieces."""
+def segmentations(v, s):
+    """Every segmentation of a text, as lists of pieces."""
     if not s:
-        return 1.0
-    p = sum(math.exp(lat.log_of[s[:n]]) * all_segmentations(lat, s[n:]) for n in range(1, min(len(s), lat.longest) + 1) if s[:n] in lat.log_of)
-    if s[0] not in lat.log_of:
-        p += math.exp(sum(lat.bytes_[b] for b in s[0].encode())) * all_segmentations(lat, s[1:])
-    return p
+        return [[]]
+    out = [[v.ids[s[:n]], *rest] for n in range(1, min(len(s), v.longest) + 1) if s[:n] in v.ids for rest in segmentations(v, s[n:])]
+    if s[0] not in v.ids:
+        out += [[*(v.byte_ids[b] for b in s[0].encode()), *rest] for rest in segmentations(v, s[1:])]
+    return out
 
 
-def test_forward_sums_all_segmentations():
+def plain(v, logs, word):
+    """Log probability of a word, and the pieces expected in it, by listing its segmentations."""
+    p = [(math.exp(sum(logs[i] for i in x)), x) for x in segmentations(v, L.MARK + word)]
+    total, expected = sum(q for q, _ in p), Counter()
+    for q, x in p:
+        for i in x:
+            expected[i] += q / total
+    return math.log(total), expected
+
+
+def test_lattice_sums_all_segmentations():
     v = L.vocabulary(PATH)
     logs, end = L.piece_logs(v, {v.ids["▁the"]: 50, v.ids["e"]: 9}, 10)
     assert math.exp(end) + sum(math.exp(x) for x in logs) == pytest.approx(1)
     lat = L.Lattice(v, logs)
-    for w in ("the", "thee", "hello", "été", "漢\U0001f600x", "a"):
-        assert lat.word(w) == pytest.approx(math.log(all_segmentations(lat, L.MARK + w)))
-    assert math.isfinite(lat.word("q" * 5000))
+    words = ["the", "thee", "hello", "été", "漢\U0001f600x", "a", "the", "understanding"]
+    got = lat.words(words)
+    want = [plain(v, logs, w) for w in words]
+    assert list(got) == pytest.approx([x for x, _ in want])
+    n, expected = np.arange(1.0, len(words) + 1), Counter()
+    for k, (_, x) in zip(n, want):
+        for i, q in x.items():
+            expected[i] += k * q
+    found = lat.expected(words, n)
+    assert {i: x for i, x in enumerate(found) if x} == pytest.approx(dict(expected))
+    assert np.isfinite(lat.words(["q" * 5000, "\U0001f600" * 300])).all() and len(lat.words([])) == 0
+    lat._blocks = lambda words: [(i, i + 1) for i in range(len(words))]
+    assert list(lat.words(words)) == pytest.approx(list(got))
+
+
+def test_rounds_raise_the_likelihood_of_training_words():
+    v = L.vocabulary(PATH)
+    words, n = ["understanding", "thandoun", "hewhoner", "ontionst"], np.array([5.0, 40.0, 30.0, 20.0])
+    logs, seen = L.piece_logs(v, {}, 1, 0.001)[0], []
+    for _ in range(4):
+        lat = L.Lattice(v, logs)
+        seen.append(float(n @ lat.words(words)))
+        logs = L.piece_logs(v, dict(enumerate(1e4 * lat.expected(words, n))), 1, 0.001)[0]
+    assert seen == sorted(seen) and seen[-1] > seen[0] + 10
 
 
 @pytest.mark.parametrize("head", [0, 20, 50_000])
@@ -44,17 +76,17 @@ def test_scores_against_brute_force(docs, rows, head):
             ends += 1
     n, v = sum(c.values()) + ends, len(c) + 1
     vocab = L.vocabulary(PATH)
-    pieces = Counter()
-    for w, k in c.items():
-        for p in vocab.pieces([w.decode()])[0]:
-            pieces[p] += k
-    logs, end = L.piece_logs(vocab, pieces, ends)
-    lat = L.Lattice(vocab, logs)
+    logs, end = L.piece_logs(vocab, {}, ends)
+    known = [(w.decode(), k) for w, k in c.items()]
+    for _ in range(2):
+        logs, end = L.piece_logs(vocab, dict(enumerate(L.Lattice(vocab, logs).expected([w for w, _ in known], np.array([float(k) for _, k in known])))), ends)
+    every = sorted({x.decode() for r in rows for x in split(r[1])})
+    word = dict(zip(every, L.Lattice(vocab, logs).words(every)))
     want = {}
     for r in rows:
         w = split(r[1])
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        want.setdefault(r[0], []).append((len(w) + 1, sum(c[x] > 0 for x in w) + 1, base, (sum(lat.word(x.decode()) for x in w) + end) / math.log(10)))
+        want.setdefault(r[0], []).append((len(w) + 1, sum(c[x] > 0 for x in w) + 1, base, (sum(word[x.decode()] for x in w) + end) / math.log(10)))
     for r in got:
         assert r["train_tokens"] == n
         assert any((r["n_tokens"], r["n_known"]) == x[:2] and r["base_score"] == pytest.approx(x[2]) and r["score"] == pytest.approx(x[3]) for x in want[r["doc_id"]])
