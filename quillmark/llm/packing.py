@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +30,25 @@ WINDOW = 2048
 END_ID = 1
 
 
-def _parts_at_spaces(path: str) -> bool:
+def _parts_at_spaces(spec: dict) -> bool:
     """Whether ids of a text are those of its chunks, one after the other, where a chunk begins at a blank between two characters
     that are no white space: byte-level pieces under the usual pattern, in which a blank only ever begins a piece there."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
     added = spec.get("added_tokens") or []
-    return plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+    return bool(plain) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) or t["content"].isalnum() for t in added)
 
 
+#: Runs that the usual pattern takes for a piece each: Latin letters, ASCII digits, ASCII marks but the apostrophe, and a line end
+#: between two of them. A blank before the first run goes with it.
+_LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+_RUN = re.compile(f"[{_LATIN}]+|[0-9]+|[{_MARKS}]+|\n")
+_RUNS = re.compile(f"[{_LATIN}0-9{_MARKS}]+(?:\n[{_LATIN}0-9{_MARKS}]+)*")
+#: Byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OF_BYTE = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+#: White space to some engine; a word that begins or ends with one is not taken for a chunk.
 _BLANK = re.compile("[\\s\u180e\u200b\ufeff]")
 
 
@@ -52,32 +61,48 @@ class Encoder:
     """Ids of whole texts by a tokenizer file through its own library, as little-endian unsigned 32-bit bytes.
 
     Texts repeat their words, so a word behind a blank is encoded once and its ids are kept, at most ``most`` words at a time.
-    Words not yet known are encoded in one call as a text of their own, and its ids are dealt to them by their offsets. Where
-    blanks meet other white space, the words around are encoded together; every text takes this same way. Under a tokenizer whose ids do
-    not part at blanks, whole texts are encoded."""
+    A new word is given to the library's model piece by piece where its runs of letters, digits and marks are the pieces; the other new words
+    are encoded in one call as a text of their own, and its ids are dealt to them by their offsets. Where blanks meet other white
+    space, the words around are encoded together. Under a tokenizer whose ids do not part at blanks, whole texts are encoded."""
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.most = _parts_at_spaces(path), most
+        self.model = self.tokenizer.model
+        self.parts, self.most = _parts_at_spaces(spec), most
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str], at_once: int = 1024) -> dict[str, bytes]:
+    def piece(self, piece: str) -> bytes:
+        held = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_OF_BYTE)
+        return array("I", [t.id for t in self.model.tokenize(held)]).tobytes()
+
+    def learn(self, words: list[str], at_once: int = 1024) -> None:
         """Ids of each of ``words`` behind a blank."""
-        out = {}
-        for at in range(0, len(words), at_once):
-            part = words[at : at + at_once]
+        known, others, lead = self.known, [], _OF_BYTE[32]
+        for w in words:
+            if w.isascii() and w.isalpha():
+                known[w] = array("I", [t.id for t in self.model.tokenize(lead + w)]).tobytes()
+            elif _RUNS.fullmatch(w) and not any(a in w for a in self.added):
+                runs = _RUN.findall(w)
+                first = known.get(runs[0]) or self.piece(" " + runs[0])
+                known[w] = first + b"".join(map(self.piece, runs[1:]))
+            else:
+                others.append(w)
+        for at in range(0, len(others), at_once):
+            part = others[at : at + at_once]
             got = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])
             cuts = 4 * np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(ids)), starts)
             cuts[-1], held = 4 * len(ids), ids.tobytes()
-            out.update((w, held[i:j]) for w, i, j in zip(part, cuts.tolist(), cuts[1:].tolist()))
-        return out
+            known.update((w, held[i:j]) for w, i, j in zip(part, cuts.tolist(), cuts[1:].tolist()))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.parts:
@@ -88,7 +113,7 @@ class Encoder:
         split = [t.split(" ") for t in texts]
         new = {w for w in set().union(*split) if w not in self.known}
         plain = list(filter(_solid, new))
-        self.known.update(self.learn(plain))
+        self.learn(plain)
         odd, get = new.difference(plain), self.known.get
         for words in split:
             if _solid(words[0]) and odd.isdisjoint(words):
