@@ -107,6 +107,11 @@ class Release:
             _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
+def id_kind(df: DataFrame, name: str) -> tuple[str, pa.DataType]:
+    """Type of an id column in results: text stays text, all else is a long."""
+    return ("string", pa.string()) if dict(df.dtypes)[name] == "string" else ("long", pa.int64())
+
+
 def slices(batches, rows: int = 512):
     """Record batches in smaller pieces, so that few texts are Python objects at a time."""
     for b in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 #: Bits a dimension.
 ORDER = 8
@@ -68,7 +68,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("
 
     Law ``rows``: counts of shards are at most one apart, slots are gapless from 0. Null names have a cell of their own,
     null and empty text count as empty text, a null doc_id sorts first, repeated rows get slots of their own, an empty
-    table gives no rows. Columns of ``dims`` that ``docs`` lacks count as null.
+    table gives no rows. Columns of ``dims`` that ``docs`` lacks count as null; ids may be of any type; other columns, whatever their
+    names, are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -113,12 +114,18 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``docs`` as one folder a shard, rows in curve order; ids must be unique."""
-    order = placed.select(F.col(id_col).alias("_id"), "shard", "slot")
+    """Write ``docs`` as one folder a shard (shard=0, ...), rows in curve order, with the columns of ``docs`` alone, whatever their
+    names. Ids must be unique and not null: rows of ``docs`` without a place would not be written, which is an error. An empty table
+    writes no folder."""
+    id_, shard, slot = (fresh(c, docs.columns) for c in ("id", "shard", "slot"))
+    order = placed.select(F.col(id_col).alias(id_), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    n = placed.agg(F.count(id_col).alias("ids"), F.count_distinct(id_col).alias("distinct"), F.count("*").alias("rows")).first()
+    if not n["ids"] == n["distinct"] == n["rows"] == docs.count():
+        raise ValueError("ids must be unique, not null, and all placed")
     (
-        docs.join(order, docs[id_col] == F.col("_id")).drop("_id")
-        .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard").parquet(path)
+        docs.join(order, docs[id_col] == F.col(id_))
+        .repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(id_, slot)
+        .write.partitionBy(shard).parquet(path)
     )
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, id_kind, table
 from .components import connected_components
 
 BITS = 64
@@ -160,7 +160,7 @@ def itq_links(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.995, s
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     e = F.col("embedding")
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    slim = vectors.select(F.col("vec_id").cast(id_kind(vectors, "vec_id")[0]).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     fine = F.coalesce(
         (F.size(e) > 0) & F.col("label").isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf))) & F.exists(e, lambda x: x != 0.0),
         F.lit(False),

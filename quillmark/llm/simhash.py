@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, table, text_bytes
+from .common import Scratch, id_kind, slices, table, text_bytes
 from .components import connected_components
 
 BITS = 64
@@ -54,8 +54,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = [_signed(fingerprint(t, shingle)) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    kind = id_kind(docs, "doc_id")[0]
+    slim = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return slim.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def block_masks(blocks: int, k: int) -> list[int]:
@@ -65,6 +66,15 @@ def block_masks(blocks: int, k: int) -> list[int]:
     return [sum(one[i] for i in c) for c in combinations(range(blocks), blocks - k)]
 
 
+def blocks_for(n: int, k: int, bucket: int = 64) -> int:
+    """Blocks to cut ``n`` fingerprints into: the fewest whose keys, all but ``k`` of the blocks, are long enough that a key has
+    ``bucket`` fingerprints or fewer by chance. Each block more lengthens the keys and adds to their number."""
+    blocks = k + 2
+    while n > bucket << round(BITS * (blocks - k) / blocks) and blocks < BITS // 4:
+        blocks += 1
+    return blocks
+
+
 def _forest(fps: np.ndarray, side: np.ndarray | None, k: int) -> list[tuple[int, int]]:
     """Spanning forest of the links among ``fps``; with ``side`` only links between its two values."""
     label, out = np.arange(len(fps)), []
@@ -109,11 +119,13 @@ def _edges(pdf: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
     return pd.DataFrame({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)}) if us else pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
 
 
-def link_edges(fps: DataFrame, scratch: Scratch, k: int = 3, blocks: int = 5, group_rows: int = 8192, max_bucket: int = 4096) -> DataFrame:
-    """Edges u, v that connect what links of at most ``k`` bits connect among the distinct ``fps`` (one column, ``fp``)."""
-    masks = [_signed(m) for m in block_masks(blocks, k)]
+def link_edges(fps: DataFrame, scratch: Scratch, k: int = 3, blocks: int | None = None, group_rows: int = 8192, max_bucket: int = 4096) -> DataFrame:
+    """Edges u, v that connect what links of at most ``k`` bits connect among the distinct ``fps`` (one column, ``fp``). Unless
+    ``blocks`` is given, their number follows that of the fingerprints."""
+    count = fps.count()
+    masks = [_signed(m) for m in block_masks(blocks or blocks_for(count, k), k)]
     filed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    n = fps.count() * len(masks)
+    n = count * len(masks)
     hot, path = scratch.write(filed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket))
     any_hot = bool(hot.take(1))
     plain = filed.join(hot, ["t", "key"], "left_anti") if any_hot else filed
@@ -135,12 +147,13 @@ def link_edges(fps: DataFrame, scratch: Scratch, k: int = 3, blocks: int = 5, gr
     return edges
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, k: int = 3, blocks: int = 5) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, k: int = 3, blocks: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id and text are read): doc_id, text_hash, fingerprint (16 hex digits),
     component_id (smallest doc_id reachable through fingerprints at most ``k`` bits apart).
 
     Null text: no words, fingerprint zero, which links like any other. Null doc_id: the row gets its component, and
-    counts for no smallest id (null if the component has no id). Repeated rows stay. Empty table: empty result.
+    counts for no smallest id (null if the component has no id). Text ids stay text, others are longs. Repeated rows stay; other
+    columns, whatever their names, are not read. Empty table: empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -174,7 +187,7 @@ def keep_first(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """Rows of ``docs`` that stay when one row of each component does."""
+    """Rows of ``docs`` that stay when one row of each component does; nulls and repeats as in ``keep_first``."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(simhash_components(docs, **params))
     # A component without any id is told by its fingerprint.

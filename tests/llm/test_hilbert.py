@@ -37,3 +37,38 @@ def test_files(docs, tmp_path):
     few = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).drop("shard")
     H.write_shards(few, H.hilbert_shards(few, 4), str(tmp_path / "out"))
     assert few.sparkSession.read.parquet(str(tmp_path / "out")).count() == few.count()
+
+
+def test_files_prune_by_every_dimension(spark, tmp_path):
+    """A file of a shard covers a small box: a value of any dimension is in few of them, where rows dealt by id are in all."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, "w" * (1 + i * 7919 % 4000), f"s{i * 31 % 16}", f"l{i * 17 % 8}", "x") for i in range(6400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, shard string")
+    H.write_shards(docs, H.hilbert_shards(docs, 32), str(tmp_path / "out"))
+    held = {}
+    for f in (tmp_path / "out").rglob("*.parquet"):
+        t = pq.read_table(f, partitioning=None)
+        assert t.schema.names == docs.columns
+        held.setdefault(f.parent.name, []).append(t.to_pandas())
+    assert len(held) == 32 and sum(len(x) for v in held.values() for x in v) == len(rows)
+    boxes = [(set(x["source"]), set(x["lang"]), (x["text"].str.len().min(), x["text"].str.len().max())) for v in held.values() for x in v]
+    share = lambda test: sum(map(test, boxes)) / len(boxes)
+    assert np.mean([share(lambda b: f"s{i}" in b[0]) for i in range(16)]) < 0.6
+    assert np.mean([share(lambda b: f"l{i}" in b[1]) for i in range(8)]) < 0.75
+    assert np.mean([share(lambda b: b[2][0] <= n <= b[2][1]) for n in (50, 500, 1500, 3500)]) < 0.9
+    with __import__("pytest").raises(ValueError):
+        H.write_shards(docs.union(docs.where("doc_id = 1")), H.hilbert_shards(docs, 4), str(tmp_path / "bad"))
+
+
+def test_counts_are_those_of_sql(spark):
+    import duckdb
+
+    p = "/root/testdata/sf0.01/documents.parquet"
+    want = duckdb.sql(f"SELECT s, (SELECT count(*) FROM '{p}') // 24 + CASE WHEN s < 0 THEN 1 ELSE 0 END FROM range(24) t(s)").fetchall()
+    n, least = duckdb.sql(f"SELECT count(*), count(*) // 24 FROM '{p}'").fetchall()[0]
+    got = {r["shard"]: (r["count"], r["top"]) for r in H.hilbert_shards(spark.read.parquet(p)).groupBy("shard").agg({"*": "count", "slot": "max"}).toDF("shard", "count", "top").collect()}
+    assert set(got) == {s for s, _ in want} and sum(c for c, _ in got.values()) == n
+    assert all(c in (least, least + 1) and top == c - 1 for c, top in got.values())
+    sizes = duckdb.sql(f"SELECT doc_id, coalesce(strlen(text), 0) + 8 FROM '{p}'").fetchall()
+    assert {r["doc_id"]: r["size"] for r in H.hilbert_shards(spark.read.parquet(p)).collect()} == dict(sizes)

@@ -83,3 +83,26 @@ def test_keep_one(docs, rows, empty):
     fps = {r[0]: brute_fp(r[1]) for r in rows if r[0] is not None}
     assert ids == sorted(set(brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3).values()))
     assert S.keep_one(empty).count() == 0 and S.simhash_components(empty).count() == 0
+
+
+def test_blocks_follow_the_count(spark):
+    assert [S.blocks_for(n, 3) for n in (10, 10**9, 10**11, 5 * 10**12)] == [5, 5, 6, 7]
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps]
+    df = spark.createDataFrame([(S._signed(f),) for f in set(fps)], "fp long")
+    from quillmark.llm.common import Scratch
+
+    want = None
+    for blocks in (5, 6, 7):
+        links = {(r["u"], r["v"]) for r in S.link_edges(df, Scratch(spark), 3, blocks).collect()}
+        joined = {frozenset(x) for x in links}
+        want = want or joined
+        assert len(joined) >= 30 and joined == want
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), (None, "else")], "doc_id string, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in S.simhash_components(docs).collect()}
+    assert got == {("b", "a"), ("a", "a"), (None, None)}
+    assert S.keep_one(docs).count() == 2
