@@ -77,11 +77,13 @@ def flagship(spark, d):
 
 
 def _dense(spark, d, k: int = 10):
+    """Every hundredth vector against all rows but itself."""
     e = A.table(spark, d, "embeddings")
-    return T.dense_topk(e.where("vec_id % 10 = 0"), "vec_id", "embedding", e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), k)
+    found = T.dense_topk(e.where("vec_id % 100 = 0"), "vec_id", "embedding", e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), k + 1)
+    return T.best_k(found.where("id <> vec_id").drop("rank"), "vec_id", k)
 
 
-_DENSE = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 12) AS score FROM e q JOIN e v ON q.vec_id % 10 = 0 AND v.vec_id % 10 <> 0),
+_DENSE = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 12) AS score FROM e q JOIN e v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
 dn AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) - 1 AS rank FROM s QUALIFY rank < 10)"""
 
 
@@ -90,14 +92,16 @@ def dense_topk(spark, d):
     return _dense(spark, d).select("vec_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-_SECOND = """, sec AS (SELECT vec_id, id, row_number() OVER (PARTITION BY vec_id ORDER BY (id * 7919 + vec_id * 31) % 1009, id) - 1 AS rank FROM s QUALIFY rank < 10)"""
+_SECOND = """, sec AS (SELECT vec_id, id, row_number() OVER (PARTITION BY vec_id ORDER BY j) - 1 AS rank FROM (SELECT vec_id, (vec_id * 31 + j * 97) % (SELECT count(*) FROM embeddings) AS id, j FROM embeddings, range(10) r(j) WHERE vec_id % 100 = 0) WHERE id <> vec_id)"""
 
 
 def _second(spark, d):
+    """The stored ranking of a second ranker: ten ids a query, made by arithmetic."""
     e = A.table(spark, d, "embeddings").select("vec_id")
-    # A second ranker by arithmetic: every query against all vectors, in one small table here.
-    pairs = e.where("vec_id % 10 = 0").join(e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("id")), F.col("id") >= 0).withColumn("score", -((F.col("id") * 7919 + F.col("vec_id") * 31) % 1009).cast("double"))
-    return T.best_k(pairs, "vec_id", 10)
+    n = e.agg(F.count("*").alias("n"))
+    ten = e.where("vec_id % 100 = 0").crossJoin(F.broadcast(n)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9))))  # one row
+    stored = ten.select("vec_id", ((F.col("vec_id") * 31 + F.col("j") * 97) % F.col("n")).alias("id"), (-F.col("j")).cast("double").alias("score")).where("id <> vec_id")
+    return T.best_k(stored, "vec_id", 10)
 
 
 @query("rrf_fusion", _DENSE + _SECOND + """, f AS (SELECT vec_id, id, sum(1 / (60.0::DOUBLE + rank)) AS score FROM (SELECT vec_id, id, rank FROM dn UNION ALL SELECT vec_id, id, rank FROM sec) GROUP BY ALL)
@@ -203,11 +207,13 @@ def _kb_codes(spark, d):
 
 
 def _asked(spark, d):
-    g = A.gold(spark, d).withColumn("code", F.lpad((F.col("code").cast("long") % 200).cast("string"), 5, "0")).distinct()
+    """Codes of gold dealt over all codes that have events, each on its note's day."""
+    n = A.table(spark, d, "events").agg((F.max("user_id") + 1).alias("n"))
+    g = A.gold(spark, d).crossJoin(F.broadcast(n)).select("note_id", F.lpad((F.col("code").cast("long") % F.col("n")).cast("string"), 5, "0").alias("code")).distinct()  # one row
     return g.withColumn("as_of", F.expr("date_add(date '2024-01-01', cast(note_id as int) % 30)"))
 
 
-_HIST = with_sql("code_events gold kb", "").rstrip() + """, k AS (SELECT code FROM kb WHERE size < 40), ask AS (SELECT DISTINCT note_id, lpad((code::BIGINT % 200)::VARCHAR, 5, '0') AS code, DATE '2024-01-01' + (note_id::INT % 30) AS as_of FROM gold),
+_HIST = with_sql("code_events gold kb", "").rstrip() + """, k AS (SELECT code FROM kb WHERE size < 40), ask AS (SELECT DISTINCT note_id, lpad((code::BIGINT % (SELECT max(user_id) + 1 FROM events))::VARCHAR, 5, '0') AS code, DATE '2024-01-01' + (note_id::INT % 30) AS as_of FROM gold),
 dy AS (SELECT DISTINCT code, as_of FROM ask), alldays AS (SELECT c AS code, d AS as_of FROM (SELECT DISTINCT code AS c FROM code_events UNION SELECT crosswalk_code FROM code_events UNION SELECT code FROM dy), (SELECT DISTINCT as_of AS d FROM dy)),
 st AS (SELECT code, change_type, effective_date FROM code_events WHERE change_type <> 'revised'),
 ac AS (SELECT a.code, a.as_of, CASE WHEN count(s.code) = 0 THEN any_value(k.code) IS NOT NULL WHEN count(*) FILTER (WHERE s.effective_date <= a.as_of) > 0 THEN max((s.effective_date::VARCHAR || s.change_type)) FILTER (WHERE s.effective_date <= a.as_of) LIKE '%new'
@@ -257,22 +263,29 @@ def event_reconcile(spark, d):
 # --- codes -----------------------------------------------------------------------------------------------------------
 
 
-@query("classify_codes", """WITH c AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN lpad((p_partkey * 53 % 100000)::VARCHAR, 5, '0') WHEN 1 THEN lpad((p_partkey % 10000)::VARCHAR, 4, '0') || 'F' WHEN 2 THEN lpad((p_partkey % 10000)::VARCHAR, 4, '0') || 'T'
- WHEN 3 THEN lpad((p_partkey % 10000)::VARCHAR, 4, '0') || 'U' WHEN 4 THEN lpad((p_partkey % 10000)::VARCHAR, 4, '0') || 'M' WHEN 5 THEN 'J' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') ELSE lpad((p_partkey % 10000)::VARCHAR, 4, '0') || 'A' END AS code FROM part),
-x AS (SELECT *, TRY_CAST(code AS INT) AS n FROM c)
-SELECT p_partkey, code, CASE WHEN n IS NOT NULL THEN 'CPT_I' WHEN code LIKE 'J%' THEN 'HCPCS' WHEN code LIKE '%F' THEN 'CPT_II' WHEN code LIKE '%T' THEN 'CPT_III' WHEN code LIKE '%U' THEN 'PLA' WHEN code LIKE '%M' THEN 'MAAA' ELSE 'UNKNOWN' END AS category,
- coalesce(n BETWEEN 10004 AND 69990, false) AS surgical, coalesce(n BETWEEN 99202 AND 99499, false) AS non_procedural,
- CASE WHEN code LIKE 'J%' THEN 'hcpcs2' WHEN n BETWEEN 10004 AND 69990 THEN 'surgery' WHEN n BETWEEN 99202 AND 99499 THEN 'em' WHEN n BETWEEN 70010 AND 79999 THEN 'radiology' WHEN n BETWEEN 80047 AND 89398 THEN 'pathology' WHEN n BETWEEN 90281 AND 99607 THEN 'medicine' ELSE 'other' END AS section FROM x""")
+#: Codes that meet every branch, with the class, section and marks that each must get.
+_CLASSES = {
+    **{c: ("HCPCS", "hcpcs2", False, True) for c in ("G0378", "G0379", "G0380", "G0381", "G0382", "G0383", "G0384", "G0425", "G0426", "G0427", "G0463", "G0316", "G0317", "G0318", "G2212")},
+    **{c: ("HCPCS", "hcpcs2", False, False) for c in ("G0402", "G0438", "G0506", "J0585")},
+    **{c: ("CPT_I", "surgery", True, False) for c in ("10004", "43235", "69990")}, **{c: ("CPT_I", "em", False, True) for c in ("99202", "99218", "99499")},
+    **{c: ("CPT_I", "radiology", False, False) for c in ("70010", "79999")}, **{c: ("CPT_I", "pathology", False, False) for c in ("80047", "89398")},
+    **{c: ("CPT_I", "medicine", False, False) for c in ("00100", "10003", "69991", "70009", "80046", "89399", "90281", "99201", "99500", "99607")},
+    "0101T": ("CPT_III", "hcpcs2", False, False), "0001F": ("CPT_II", "hcpcs2", False, False), "0001U": ("PLA", "hcpcs2", False, False), "0001M": ("MAAA", "hcpcs2", False, False),
+    "0001A": ("UNKNOWN", "hcpcs2", False, False), "ABC": ("UNKNOWN", "hcpcs2", False, False),
+}
+_VALUES = ", ".join(f"({i}, '{c}', '{k}', '{s}', {u}, {n})" for i, (c, (k, s, u, n)) in enumerate(_CLASSES.items()))
+
+
+@query("classify_codes", f"""SELECT p_partkey, code, category, surgical, non_procedural, section, CASE WHEN surgical THEN 'surgery' END AS kept_surgery, CASE WHEN non_procedural THEN NULL ELSE 'procedural' END AS kept_procedural
+FROM part JOIN (VALUES {_VALUES}) v(i, code, category, section, surgical, non_procedural) ON i = p_partkey % {len(_CLASSES)}""")
 def classify_codes(spark, d):
-    p = A.table(spark, d, "part").select("p_partkey")
-    k = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")
-    m = F.col("p_partkey") % 7
-    code = F.when(m == 0, F.lpad((F.col("p_partkey") * 53 % 100000).cast("string"), 5, "0"))
-    for i, s in enumerate("FTUM", 1):
-        code = code.when(m == i, F.concat(k, F.lit(s)))
-    p = p.withColumn("code", code.when(m == 5, F.concat(F.lit("J"), k)).otherwise(F.concat(k, F.lit("A"))))
+    codes = F.array(*map(F.lit, _CLASSES))
+    p = A.table(spark, d, "part").select("p_partkey", F.get(codes, (F.col("p_partkey") % len(_CLASSES)).cast("int")).alias("code"))
     c = F.col("code")
-    return p.select("p_partkey", "code", K.category(c).alias("category"), K.is_surgical(c).alias("surgical"), K.is_non_procedural(c).alias("non_procedural"), K.section(c).alias("section"))
+    return p.select(
+        "p_partkey", "code", K.category(c).alias("category"), K.is_surgical(c).alias("surgical"), K.is_non_procedural(c).alias("non_procedural"), K.section(c).alias("section"),
+        *[F.when(K.passes_filter(c, mode), mode).alias(f"kept_{mode}") for mode in ("surgery", "procedural")],
+    )
 
 
 @query("normalize_codes", """WITH t AS (SELECT o_orderkey, list(tok ORDER BY i) AS x FROM (SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, CASE l_linenumber % 3 WHEN 0 THEN lpad(l_partkey::VARCHAR, 5, '0') || 'LT' WHEN 1 THEN lpad(l_partkey::VARCHAR, 5, '0') ELSE 'ROBOT' || l_linenumber::VARCHAR END AS tok FROM lineitem) GROUP BY o_orderkey),
