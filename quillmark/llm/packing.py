@@ -65,7 +65,7 @@ class Encoder:
     are encoded in one call as a text of their own, and its ids are dealt to them by their offsets. Where blanks meet other white
     space, the words around are encoded together. Under a tokenizer whose ids do not part at blanks, whole texts are encoded."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -139,17 +139,17 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker and path, so that what it knows outlives a task."""
-    if path not in _encoders:
+def encoder(path: str, most: int = 400_000) -> Encoder:
+    """One encoder a Python worker, path and bound, so that what it knows outlives a task."""
+    if (path, most) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 class SumOfSquares:
@@ -255,7 +255,7 @@ def _rows(packed: Iterator[tuple[int, list[tuple]]], first: int, with_ids: bool,
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False, carry_tokens: int = 1 << 25) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False, carry_tokens: int = 1 << 25, known_words: int = 400_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, placed_by (one of PLACED), and ids if
     asked for.
 
@@ -263,7 +263,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: b
     or null doc_id are documents of their own; other columns, whatever their names, are not read. sequence_id is the stage, the
     partition's number and the sequence's number in it. An empty table gives no pieces. The packing of a partition depends on its rows
     alone, so a lost task repeats it. ``carry_tokens``: tokens that one task of the second stage takes, about; long pieces come
-    first, and the task streams them, so its memory does not depend on this.
+    first, and the task streams them, so its memory does not depend on this. ``known_words``: words whose ids a Python worker keeps,
+    some 200 bytes each.
     """
     end = np.array([END_ID], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "how", "ids"]
@@ -272,7 +273,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: b
     kinds = [pa.string() if id_type == "string" else pa.int64(), *[pa.int64()] * 6, pa.int32(), pa.binary()]
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, known_words)
 
         def stream():
             for b in slices(batches):
