@@ -20,6 +20,11 @@ def with_codes(notes: DataFrame, codes: str) -> DataFrame:
     return notes.where(F.size(codes) > 0)
 
 
+def label_tallies(notes: DataFrame, codes: str) -> DataFrame:
+    """One row: notes, and those that ``with_codes`` drops."""
+    return notes.agg(F.count("*").alias("rows_in"), F.sum((F.size(codes) <= 0).cast("int")).alias("rows_no_codes"))
+
+
 def in_kb(codes: DataFrame, kb: DataFrame) -> DataFrame:
     return codes.join(kb.select("code").distinct(), "code", "left_semi")
 
@@ -49,8 +54,17 @@ def grounded(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("selected_pre_rule") & (F.trim(F.coalesce("evidence_snippet", F.lit(""))) != ""))
 
 
+def grounding_tallies(ledger: DataFrame) -> DataFrame:
+    """One row: ledger rows, those selected, and those selected that lack a snippet."""
+    chosen = F.col("selected_pre_rule")
+    blank = F.trim(F.coalesce("evidence_snippet", F.lit(""))) == ""
+    return ledger.agg(F.count("*").alias("n"), F.sum(chosen.cast("int")).alias("selected"), F.sum((chosen & blank).cast("int")).alias("without_snippet"))
+
+
 def section_override(notes: DataFrame, sections: DataFrame, text: str = "note_text") -> DataFrame:
-    """notes with the text of ``sections`` (note_id, section_text) where it is not blank."""
-    s = sections.groupBy("note_id").agg(F.max("section_text").alias("_s"))
+    """notes with the text of ``sections`` (note_id, section_text, and ``place`` if there are several sources: the last one
+    counts, blank or not) where it is not blank."""
+    last = F.max_by("section_text", "place") if "place" in sections.columns else F.max("section_text")
+    s = sections.groupBy("note_id").agg(last.alias("_s"))
     given: Column = F.nullif(F.trim(F.coalesce("_s", F.lit(""))), F.lit(""))
     return notes.join(s, "note_id", "left").withColumn(text, F.when(given.isNotNull(), F.col("_s")).otherwise(F.col(text))).drop("_s")

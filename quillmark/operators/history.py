@@ -21,7 +21,7 @@ def reconcile(annual: DataFrame, deletions: DataFrame) -> DataFrame:
     deletion without one is an event of its own. Events alike in code, type, date and source stand once."""
     nth = F.row_number().over(Window.partitionBy("code", "change_type", "year").orderBy(F.col("crosswalk_code").asc_nulls_last()))
     a = annual.withColumn("nth", nth)
-    d = deletions.where("deleted_date is not null").select(F.col("code").alias("dc"), "deleted_date", "substitute_code", F.year("deleted_date").alias("dy")).withColumn("dnth", F.row_number().over(Window.partitionBy("dc", "dy").orderBy("deleted_date")))
+    d = deletions.where("deleted_date is not null").select(F.col("code").alias("dc"), "deleted_date", "substitute_code", F.year("deleted_date").alias("dy")).withColumn("dnth", F.row_number().over(Window.partitionBy("dc", "dy").orderBy("deleted_date", F.col("substitute_code").asc_nulls_last())))
     on = (F.col("code") == F.col("dc")) & (F.col("year") == F.col("dy")) & (F.col("change_type") == "deleted") & (F.col("nth") == F.col("dnth"))
     j = a.join(d, on, "full_outer")
     merged = j.select(

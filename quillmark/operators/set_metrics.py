@@ -171,19 +171,46 @@ def binned_frequency_export(bins: DataFrame) -> DataFrame:
     return b.groupBy("bin").agg(F.count("*").alias("n_codes"), F.sum("frequency").alias("occurrences"), r6(F.sum("frequency") / F.first("all")).alias("share"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"))
 
 
-def bootstrap_ci(note_stats: DataFrame, n_boot: int = 1000, seed: int = 12345, level: float = 0.95) -> DataFrame:
-    """Percentile interval of micro F1 over resampled notes.
-
-    note_stats has note_id, tp, fp, fn. Notes get Poisson(1) weights by hash for each resample, so a resample is a weighted
-    sum and the shuffle carries one partial sum a resample and task."""
-    b = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
-    u = (F.pmod(F.xxhash64("note_id", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def resamples(notes: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """``notes`` once for every resample b in which they are drawn, with their weight w.
+
+    A resample of n notes with replacement draws each about Poisson(1) times; here the number comes from mixing seed, resample and
+    the MD5 of the note in whole numbers, so that notes are drawn wherever they lie, a resample is a weighted sum, and any engine draws
+    alike."""
+    prime = F.lit(2147483647).cast("long")
+    keyed = notes.withColumn("_k", F.conv(F.substring(F.md5(F.col("note_id")), 1, 7), 16, 10).cast("long"))
+    fold = lambda x, bits: x.bitwiseXOR(F.shiftright(x, bits))
+    drawn = keyed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    x = (F.col("_k") + F.col("b").cast("long") * 1000003 + seed) % prime * 48271 % prime
+    x = fold(fold(x, 15) * 69621 % prime, 13) * 16807 % prime
+    u = (x + 0.5) / 2147483647.0
     weight, edge, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 9):
         edge += p
         weight = F.when(u >= edge, k).otherwise(weight)
         p /= k
-    s = note_stats.withColumn("b", b).withColumn("w", weight).groupBy("b").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn")])
-    f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))["f1"]
+    return drawn.withColumn("w", weight).where("w > 0").drop("_k")
+
+
+def interval(samples: DataFrame, names: list[str], level: float = 0.95) -> DataFrame:
+    """metric, mean, std, ci_lo, ci_hi of columns over the rows of ``samples``, one a resample."""
+    each = samples.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("x")) for n in names])).alias("s")).select("s.*")
     lo = (1 - level) / 2
-    return s.select(f1.alias("f1")).agg(F.avg("f1").alias("mean"), F.stddev_samp("f1").alias("std"), F.percentile("f1", F.lit(lo)).alias("low"), F.percentile("f1", F.lit(1 - lo)).alias("high"), F.count("*").alias("n_boot"))
+    return each.groupBy("metric").agg(
+        r6(F.avg("x")).alias("mean"), r6(F.stddev_samp("x")).alias("std"), r6(F.percentile("x", F.lit(lo))).alias("ci_lo"), r6(F.percentile("x", F.lit(1 - lo))).alias("ci_hi"), F.count("*").alias("n_boot"))
+
+
+def bootstrap_ci(note_ids: DataFrame, gold: DataFrame, pred: DataFrame, n_boot: int = 1000, seed: int = 12345, level: float = 0.95, macro: bool = True) -> DataFrame:
+    """Percentile intervals of the headline set metrics over resampled notes: micro_precision, micro_recall, micro_f1, example_f1,
+    exact_match, jaccard_mean and macro_f1, whose codes are those with gold in the resample."""
+    s = per_note(note_ids, gold, pred)
+    by = resamples(s, n_boot, seed).groupBy("b").agg(F.sum("w").alias("n"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn", "exact", "jaccard", "example_f1")])
+    m = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    out = by.select("b", m["precision"].alias("micro_precision"), m["recall"].alias("micro_recall"), m["f1"].alias("micro_f1"), (F.col("example_f1") / F.col("n")).alias("example_f1"), (F.col("exact") / F.col("n")).alias("exact_match"), (F.col("jaccard") / F.col("n")).alias("jaccard_mean"))
+    names = ["micro_precision", "micro_recall", "micro_f1", "example_f1", "exact_match", "jaccard_mean"]
+    if macro:
+        f = resamples(flags(gold, pred).join(note_ids, "note_id", "left_semi"), n_boot, seed)
+        code = f.groupBy("b", "code").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn")]).where("tp + fn > 0")
+        f1 = code.groupBy("b").agg(F.avg(prf(F.col("tp"), F.col("fp"), F.col("fn"))["f1"]).alias("macro_f1"))
+        out, names = out.join(f1, "b"), [*names, "macro_f1"]
+    return interval(out, names, level)

@@ -22,7 +22,7 @@ def harness(note_ids, gold, pred, ranking=None, bins=None, families=None, rules=
         "prediction_stats": M.prediction_stats(note_ids, inside), "outside": pred.join(note_ids, "note_id", "left_anti").agg(F.count_distinct("note_id").alias("n_notes_outside")),
     }
     if n_boot:
-        out["bootstrap"] = M.bootstrap_ci(M.per_note(note_ids, gold, inside), n_boot)
+        out["bootstrap"] = M.bootstrap_ci(note_ids, gold, inside, n_boot)
     if bins is not None:
         out["per_bin"] = M.per_bin(gold, inside, bins)
     if rules is not None:

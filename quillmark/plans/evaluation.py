@@ -335,29 +335,98 @@ def one_note_per_encounter(spark, d):
     return D.one_note_per_encounter(n, "longest").select("hadm_id", "note_id", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("stratified_alloc")
+_TIERS = with_sql("note_ids gold bins", """, t AS (SELECT n.note_id, count(g.code) AS n_gold, CASE coalesce(max(CASE bin WHEN 'head' THEN 0 WHEN 'torso' THEN 1 WHEN 'tail' THEN 2 END), 0) WHEN 0 THEN 'head' WHEN 1 THEN 'torso' ELSE 'tail' END AS tier,
+ CASE WHEN count(g.code) <= 1 THEN 'single' WHEN count(g.code) <= 4 THEN 'small' ELSE 'large' END AS size_bucket FROM note_ids n LEFT JOIN gold g USING (note_id) LEFT JOIN bins b USING (code) GROUP BY n.note_id)""")
+
+
+@query("stratified_alloc", _TIERS + """, c AS (SELECT tier, count(*) AS n FROM t GROUP BY tier), s AS (SELECT *, least(n, round_even(400 * n / sum(n) OVER (), 0))::BIGINT AS seats FROM c), d AS (SELECT 400 - sum(seats) AS diff FROM s),
+f AS (SELECT tier, seats + CASE WHEN diff > 0 AND row_number() OVER (ORDER BY n - seats DESC, tier DESC) <= diff THEN 1 WHEN diff < 0 AND row_number() OVER (ORDER BY seats DESC, tier DESC) <= -diff THEN -1 ELSE 0 END AS seats FROM s, d)
+SELECT t.* FROM t JOIN f USING (tier) QUALIFY row_number() OVER (PARTITION BY tier ORDER BY md5('42' || note_id), note_id) <= seats""")
 def stratified_alloc(spark, d):
     t = M.note_tiers(A.note_ids(spark, d), A.gold(spark, d), M.frequency_bins(A.gold(spark, d)))
     return P.stratified_sample(t, "tier", 400, "note_id")
 
 
-@query("cohort_selection")
+@query("cohort_selection", _TIERS + """, x AS (SELECT *, (n_gold >= 12)::INT AS in_hard_slice, tier || '/' || size_bucket AS cell FROM t), c AS (SELECT cell, count(*) AS n FROM x GROUP BY cell),
+a AS (SELECT *, least(n, 8) AS base, 400 - sum(least(n, 8)) OVER () AS left_, n - least(n, 8) AS room, sum(n - least(n, 8)) OVER () AS rooms FROM c), b AS (SELECT *, left_ * room / rooms AS share, base + least(room, floor(left_ * room / rooms)::BIGINT) AS got FROM a),
+e AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, cell) AS o, least(400, sum(n) OVER ()) - sum(got) OVER () AS more FROM b WHERE true), f AS (SELECT cell, got + CASE WHEN got < n AND row_number() OVER (PARTITION BY got < n ORDER BY o) <= more THEN 1 ELSE 0 END AS seats FROM e),
+p AS (SELECT x.*, row_number() OVER (PARTITION BY cell ORDER BY in_hard_slice DESC, md5('42' || note_id), note_id) <= seats AS picked FROM x JOIN f USING (cell))
+SELECT note_id, n_gold, tier, size_bucket, in_hard_slice, cell, CASE WHEN picked AND in_hard_slice = 1 THEN 'hard' WHEN picked THEN 'cell' ELSE 'forced' END AS reason FROM p WHERE picked OR in_hard_slice = 1""")
 def cohort_selection(spark, d):
     t = M.note_tiers(A.note_ids(spark, d), A.gold(spark, d), M.frequency_bins(A.gold(spark, d)))
     return P.cohort(t, t.where("n_gold >= 12").select("note_id"))
 
 
-@query("cohort_hash_split")
+@query("cohort_composition", _TIERS + ", s AS (SELECT * FROM t QUALIFY row_number() OVER (ORDER BY md5('42' || note_id), note_id) <= 300) SELECT t.tier, count(*) AS available, count(s.note_id) AS selected FROM t LEFT JOIN s USING (note_id) GROUP BY t.tier")
+def cohort_composition(spark, d):
+    """A seeded sample of 300 notes: a sampling operator, so the limit is the feature."""
+    t = M.note_tiers(A.note_ids(spark, d), A.gold(spark, d), M.frequency_bins(A.gold(spark, d)))
+    return P.composition(t, P.seeded_sample(t, "note_id", 300), "tier")
+
+
+@query("cohort_hash_split", with_sql("notes", """, p AS (SELECT DISTINCT patient_id FROM notes), r AS (SELECT patient_id, row_number() OVER (ORDER BY md5('42' || patient_id::VARCHAR), patient_id) AS i, count(*) OVER () AS n FROM p)
+SELECT note_id, patient_id, CASE WHEN i <= round_even(n * 0.2, 0) THEN 'test' WHEN i <= round_even(n * 0.2, 0) + round_even(n * 0.1, 0) THEN 'val' ELSE 'train' END AS split FROM notes JOIN r USING (patient_id)"""))
 def cohort_hash_split(spark, d):
     return P.patient_split(A.notes(spark, d)).select("note_id", "patient_id", "split")
 
 
-@query("bootstrap_ci")
+_EDGES, _p = [], 0.36787944117144233
+for _k in range(1, 9):
+    _EDGES.append((_EDGES[-1] if _EDGES else 0.0) + _p)
+    _p /= _k
+_DRAWN = (
+    """, k0 AS (SELECT note_id, ('0x' || substr(md5(note_id), 1, 7))::BIGINT AS k FROM note_ids), k1 AS (SELECT note_id, b, (k + b * 1000003 + 12345) % 2147483647 * 48271 % 2147483647 AS x FROM k0, range(1000) r(b)),
+k2 AS (SELECT note_id, b, xor(x, x >> 15) * 69621 % 2147483647 AS x FROM k1), u AS (SELECT note_id, b, (xor(x, x >> 13) * 16807 % 2147483647 + 0.5) / 2147483647 AS u FROM k2), w AS MATERIALIZED (SELECT note_id, b, """
+    + " + ".join(f"(u >= {e!r}::DOUBLE)::INT" for e in _EDGES) + f""" AS w FROM u WHERE u >= {_EDGES[0]!r}::DOUBLE)"""
+)
+_INTERVAL = "SELECT metric, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(quantile_cont(x, 0.025), 6) AS ci_lo, round(quantile_cont(x, 0.975), 6) AS ci_hi, count(*) AS n_boot FROM l GROUP BY metric"
+
+
+@query("bootstrap_ci", _BASE + _DRAWN + """, s AS (SELECT b, sum(w) AS n, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn, sum(w * (fp + fn = 0)::INT) AS e, sum(w * CASE WHEN tp + fp + fn = 0 THEN 1 ELSE tp / (tp + fp + fn) END) AS j, sum(w * CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) END) AS x FROM pn JOIN w USING (note_id) GROUP BY b),
+c AS (SELECT b, code, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn FROM flags JOIN w USING (note_id) GROUP BY b, code HAVING sum(w * (tp + fn)) > 0), m AS (SELECT b, avg(2 * tp / (2 * tp + fp + fn)) AS f FROM c GROUP BY b),
+l AS (SELECT unnest(['micro_precision', 'micro_recall', 'micro_f1', 'example_f1', 'exact_match', 'jaccard_mean', 'macro_f1']) AS metric, unnest([tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn), x / n, e / n, j / n, f]) AS x FROM s JOIN m USING (b)) """ + _INTERVAL)
 def bootstrap_ci(spark, d):
-    n = M.per_note(A.note_ids(spark, d), A.gold(spark, d), A.pred(spark, d)).select("note_id", "tp", "fp", "fn")
-    return M.bootstrap_ci(n, 100)
+    return M.bootstrap_ci(A.note_ids(spark, d), A.gold(spark, d), A.pred(spark, d))
+
+
+@query("rank_bootstrap_ci", _RANK + _DRAWN + """, k AS (SELECT n.note_id, count(h.code) AS g, """ + ", ".join(f"count(*) FILTER (r <= {b}) AS h{b}" for b in (3, 10)) + """ FROM note_ids n LEFT JOIN h USING (note_id) GROUP BY n.note_id),
+s AS (SELECT b, sum(w) AS n, sum(w * g) AS g, """ + ", ".join(f"sum(w * h{b}) AS h{b}, sum(w * (h{b} = g)::INT) AS c{b}" for b in (3, 10)) + """ FROM k JOIN w USING (note_id) GROUP BY b),
+l AS (SELECT unnest(['recall_at_3', 'recall_at_10', 'coverage_at_3', 'coverage_at_10']) AS metric, unnest([h3 / g, h10 / g, c3 / n, c10 / n]) AS x FROM s) """ + _INTERVAL)
+def rank_bootstrap_ci(spark, d):
+    return R.bootstrap_ci(A.note_ids(spark, d), A.gold(spark, d), A.ranking(spark, d), (3, 10))
 
 
-@query("unique_score_thresholds")
+@query("unique_score_thresholds", with_sql("gold ranking", """, y AS (SELECT code, score, (g.note_id IS NOT NULL)::INT AS y FROM ranking LEFT JOIN gold g USING (note_id, code)), p AS (SELECT code, count(*) AS n_pos FROM gold GROUP BY code),
+s AS (SELECT code, score, sum(y) AS k, count(*) AS n FROM y GROUP BY ALL), c AS (SELECT *, sum(k) OVER w AS tp, sum(n) OVER w AS shown, sum(n) OVER (PARTITION BY code) AS everything FROM s WINDOW w AS (PARTITION BY code ORDER BY score DESC)),
+j AS (SELECT c.*, n_pos, 2 * tp / (shown + n_pos) AS f1 FROM c JOIN p USING (code)), a AS (SELECT code, sum(tp / shown * k) / any_value(n_pos) AS ap FROM j GROUP BY code), h AS (SELECT code, min(score) AS low FROM j WHERE score >= 0.5 GROUP BY code),
+t AS (SELECT code, n_pos, everything, f1, score AS thr FROM j UNION ALL SELECT code, n_pos, everything, f1, 0.5 FROM j JOIN h USING (code) WHERE score = low),
+b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY round(f1, 12) DESC, thr) AS i, max(f1) OVER (PARTITION BY code) AS best FROM t)
+SELECT code, CASE WHEN n_pos >= 10 AND everything > n_pos THEN thr ELSE 0.5 END AS thr, round(CASE WHEN n_pos >= 10 AND everything > n_pos THEN best ELSE 0 END, 6) AS f1, round(ap, 6) AS average_precision, n_pos FROM b JOIN a USING (code) WHERE i = 1"""))
 def unique_score_thresholds(spark, d):
     return C.unique_score_thresholds(A.gold(spark, d), A.ranking(spark, d))
+
+
+_BUCKETS = (2, 5, 10)
+
+
+@query("recall_buckets", with_sql("gold ranking kb", ", k AS (SELECT code FROM kb WHERE size < 45), b AS (SELECT unnest([2, 5, 10]) AS k), r AS (SELECT 'score' AS ranker, note_id, code, pos - 1 AS rank FROM ranking UNION ALL SELECT 'even', note_id, code, pos - 1 FROM ranking WHERE pos % 2 = 0), n AS (SELECT unnest(['score', 'even']) AS ranker)\n"
+       "SELECT n.ranker, b.k, round(avg(coalesce((r.rank < b.k)::INT, 0)), 6) AS recall, round(count(k.code) / count(*), 6) AS share_in_kb FROM gold g CROSS JOIN n LEFT JOIN r ON r.ranker = n.ranker AND r.note_id = g.note_id AND r.code = g.code LEFT JOIN k ON k.code = g.code, b GROUP BY ALL"))
+def recall_buckets(spark, d):
+    r = A.ranking(spark, d).select("note_id", "code", (F.col("pos") - 1).alias("rank"))
+    return D.recall_buckets(A.gold(spark, d), {"score": r, "even": r.where("rank % 2 = 1")}, A.kb(spark, d).where("size < 45"), _BUCKETS)
+
+
+@query("score_quantiles", with_sql("gold ranking", "SELECT g.code IS NOT NULL AS is_gold, count(*) AS n, " + ", ".join(f"round(quantile_cont(score, {q}), 6) AS q{i}" for i, q in enumerate((0.05, 0.25, 0.5, 0.75, 0.95))) + " FROM ranking LEFT JOIN gold g USING (note_id, code) GROUP BY ALL"))
+def score_quantiles(spark, d):
+    q = D.score_quantiles(A.gold(spark, d), A.ranking(spark, d))
+    return q.select("is_gold", "n", *[F.round(F.get("quantiles", F.lit(i)), 6).alias(f"q{i}") for i in range(5)])
+
+
+@query("dropped_sections", """WITH c AS (SELECT (p_partkey * 53 % 100000)::INT AS n FROM part), s AS (SELECT n, CASE WHEN n BETWEEN 10004 AND 69990 THEN 'surgery' WHEN n BETWEEN 99202 AND 99499 THEN 'em' WHEN n BETWEEN 70010 AND 79999 THEN 'radiology' WHEN n BETWEEN 80047 AND 89398 THEN 'pathology' ELSE 'medicine' END AS section FROM c)
+SELECT section, count(*) AS before, count(*) FILTER (section = 'surgery') AS after FROM s GROUP BY section""")
+def dropped_sections(spark, d):
+    from ..functions import codes as K
+
+    code = F.col("code")
+    c = A.table(spark, d, "part").select(F.lpad((F.col("p_partkey") * 53 % 100000).cast("string"), 5, "0").alias("code"))
+    return D.dropped_histogram(c, K.passes_filter(code, "surgery"), K.section(code))[1]

@@ -15,10 +15,24 @@ ID_NAMES = ("NOTE_ID", "note_id", "note_index")
 TEXT_NAMES = ("NOTE_TEXT", "note_text", "text")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """CSV (also gzipped) with a header, every column a string, quoted newlines allowed, blanks around column names dropped."""
+def read_csv(spark: SparkSession, path: str | list[str], recursive: bool = False, columns: list[str] | None = None, required: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """CSV (also gzipped) with a header, every column a string, quoted newlines allowed, blanks around column names dropped.
+
+    ``columns`` alone are read; a lack of those or of ``required`` ones is an error. A gzipped or multi-line file is one task however large
+    it is: ``parts`` deals its rows to as many partitions for what follows."""
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', recursiveFileLookup=recursive, pathGlobFilter="*.csv*" if recursive else None)
-    return df.toDF(*[c.strip() for c in df.columns])
+    df = df.toDF(*[c.strip() for c in df.columns])
+    lacking = [c for c in (*(columns or ()), *required) if c not in df.columns]
+    if lacking:
+        raise ValueError(f"missing columns {lacking}; there are {df.columns}")
+    df = df.select(*columns) if columns else df
+    return df.repartition(parts) if parts else df
+
+
+def read_billing(spark: SparkSession, path, parts: int | None = None) -> DataFrame:
+    """hadm_id, subject_id, hcpcs_cd of a billing table: codes trimmed and upper-cased, blank ones dropped; a lack of a column is an error."""
+    df = read_csv(spark, path, columns=["hadm_id", "subject_id", "hcpcs_cd"], parts=parts)
+    return df.withColumn("hcpcs_cd", norm(F.col("hcpcs_cd"))).where("hcpcs_cd <> ''")
 
 
 def resolve(columns: list[str], candidates, given: str | None = None) -> str:
@@ -80,27 +94,37 @@ def llm_sources(df: DataFrame, keep: tuple[str, ...] = ("llm",)) -> DataFrame:
     return x.groupBy("note_id", "code").agg(F.min("rank").alias("rank"), F.min_by("confidence", "rank").alias("confidence"))
 
 
-def import_npz(spark: SparkSession, path: str, top: int = 1000) -> DataFrame:
-    """note_id, code, score, pos of a score archive on the driver, ragged (candidate_codes, probs) or dense (labels, scores)."""
+def read_npz(spark: SparkSession, path, top: int = 1000) -> DataFrame:
+    """note_id, code, score, pos of score archives, ragged (candidate_codes, lengths, probs) or dense (labels, scores; the ``top``
+    best labels a note). An archive is unpacked by an executor, note by note; only its bytes are held whole."""
+    import io
+
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    z = np.load(path, allow_pickle=False) if not isinstance(path, np.lib.npyio.NpzFile) else path
-    frames = []
-    if "scores" in z:
-        for note, row in zip(z["note_ids"], z["scores"]):
-            at = np.argsort(-row, kind="stable")[:top]
-            frames.append(pd.DataFrame({"note_id": str(note), "code": [str(x).upper() for x in z["labels"][at]], "score": row[at].astype(float), "pos": range(1, len(at) + 1)}))
-    else:
-        cuts = np.cumsum(z["lengths"])[:-1]
-        for note, codes, probs in zip(z["note_ids"], np.split(z["candidate_codes"], cuts), np.split(z["probs"], cuts)):
-            frames.append(pd.DataFrame({"note_id": str(note), "code": [str(x).upper() for x in codes], "score": probs.astype(float), "pos": range(1, len(codes) + 1)}))
-    return spark.createDataFrame(pd.concat(frames), "note_id string, code string, score double, pos long")
+    def run(batches):
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                z = np.load(io.BytesIO(content), allow_pickle=False)
+                dense, ends = "scores" in z, np.cumsum(z["lengths"]) if "lengths" in z else None
+                labels, values, notes = (z["labels"], z["scores"], z["note_ids"]) if dense else (z["candidate_codes"], z["probs"], z["note_ids"])
+                for i, note in enumerate(notes):
+                    at = np.argsort(-values[i], kind="stable")[:top] if dense else np.arange(ends[i - 1] if i else 0, ends[i])
+                    score = (values[i] if dense else values)[at].astype(float)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([str(note)] * len(at), pa.string()), pa.array([str(x).strip().upper() for x in labels[at]], pa.string()), pa.array(score), pa.array(np.arange(1, len(at) + 1))], ["note_id", "code", "score", "pos"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "note_id string, code string, score double, pos long")
 
 
 KB_COLUMNS = ["code_system", "code", "code_description", "code_lay_term", *[x for i in range(1, 7) for x in (f"code_range_{i}", f"code_range_{i}_description")]]
 
 
+def read_kb_codes(spark: SparkSession, path) -> DataFrame:
+    """The code list alone: distinct, upper-cased; no other column is read."""
+    return read_csv(spark, path, columns=["code"]).select(norm(F.col("code")).alias("code")).where("code <> ''").distinct()
+
+
 def read_kb(spark: SparkSession, path) -> DataFrame:
     """Knowledge base, code upper-cased, the first row of a code in file order kept."""
     df = read_csv(spark, path).withColumn("code", norm(F.col("code"))).withColumn("_row", F.monotonically_increasing_id())

@@ -70,7 +70,15 @@ def test_threshold_decode_fills_up(small):
     assert sorted((r["note_id"], r["code"]) for r in got.collect()) == [("A", "X"), ("B", "Q")]
 
 
-def test_bootstrap_covers_the_estimate(table):
-    s = table([(str(i), i % 3, 1, 1) for i in range(200)], "note_id string, tp long, fp long, fn long")
-    r = M.bootstrap_ci(s, 100).first()
-    assert r["low"] < 2 * 199 / (2 * 199 + 400) < r["high"]
+def test_bootstrap(table):
+    """The intervals hold the plain values, and metrics of notes that are all alike do not vary."""
+    ids = table([(str(i),) for i in range(60)], "note_id string")
+    gold = table([(str(i), c) for i in range(60) for c in "ab"], "note_id string, code string")
+    pred = table([(str(i), "a") for i in range(60)] + [(str(i), "b") for i in range(0, 60, 3)], "note_id string, code string")
+    got = {r["metric"]: r for r in M.bootstrap_ci(ids, gold, pred, 200).collect()}
+    assert set(got) == {"micro_precision", "micro_recall", "micro_f1", "example_f1", "exact_match", "jaccard_mean", "macro_f1"}
+    assert got["micro_precision"]["std"] == 0 and got["micro_precision"]["mean"] == 1
+    assert got["micro_recall"]["ci_lo"] < 2 / 3 < got["micro_recall"]["ci_hi"] and got["exact_match"]["ci_lo"] < 1 / 3 < got["exact_match"]["ci_hi"]
+    rank = pred.selectExpr("note_id", "code", "1.0D as score", "cast(if(code = 'a', 1, 2) as long) as pos")
+    r = {x["metric"]: x for x in R.bootstrap_ci(ids, gold, rank, (1, 2), 200).collect()}
+    assert r["recall_at_1"]["mean"] == 0.5 and r["coverage_at_1"]["mean"] == 0 and abs(r["coverage_at_2"]["mean"] - 1 / 3) < 0.03
