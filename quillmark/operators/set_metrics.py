@@ -179,17 +179,17 @@ def resamples(notes: DataFrame, n_boot: int, seed: int) -> DataFrame:
     alike."""
     prime = F.lit(2147483647).cast("long")
     keyed = notes.withColumn("_k", F.conv(F.substring(F.md5(F.col("note_id")), 1, 7), 16, 10).cast("long"))
-    fold = lambda x, bits: x.bitwiseXOR(F.shiftright(x, bits))
     drawn = keyed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    x = (F.col("_k") + F.col("b").cast("long") * 1000003 + seed) % prime * 48271 % prime
-    x = fold(fold(x, 15) * 69621 % prime, 13) * 16807 % prime
-    u = (x + 0.5) / 2147483647.0
+    # A column a step, as each step reads the one before twice.
+    drawn = drawn.withColumn("_x", (F.col("_k") + F.col("b").cast("long") * 1000003 + seed) % prime * 48271 % prime)
+    drawn = drawn.withColumn("_y", F.col("_x").bitwiseXOR(F.shiftright("_x", 15)) * 69621 % prime)
+    drawn = drawn.withColumn("_u", (F.col("_y").bitwiseXOR(F.shiftright("_y", 13)) * 16807 % prime + 0.5) / 2147483647.0)
     weight, edge, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 9):
         edge += p
-        weight = F.when(u >= edge, k).otherwise(weight)
+        weight = weight + (F.col("_u") >= edge).cast("int")
         p /= k
-    return drawn.withColumn("w", weight).where("w > 0").drop("_k")
+    return drawn.where(F.col("_u") >= 0.36787944117144233).withColumn("w", weight).drop("_k", "_x", "_y", "_u")
 
 
 def interval(samples: DataFrame, names: list[str], level: float = 0.95) -> DataFrame:
