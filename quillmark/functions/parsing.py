@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def header_payload(payload: Column, taxonomy: list[str]) -> Column:
     """Map of sections of the taxonomy to their distinct, trimmed headers."""
     m = F.from_json(payload, "map<string,array<string>>")
     kept = F.map_filter(m, lambda k, v: k.isin(*taxonomy) & v.isNotNull())
-    return F.transform_values(kept, lambda k, v: F.array_distinct(F.filter(F.transform(v, F.trim), lambda x: x != "")))
+    return F.transform_values(kept, lambda k, v: F.array_distinct(F.filter(F.transform(v, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def lenient_json(text: str):
@@ -92,3 +93,21 @@ def concepts(text: str) -> list[dict]:
                 seen.add(phrase.lower())
                 out.append({"phrase": phrase, "evidence": " ".join(str(item.get("evidence") or item.get("supporting_phrase") or "").split())})
     return out
+
+
+def concept_list(answer: Column) -> Column:
+    """``concepts`` of a column of answers: array of (phrase, evidence)."""
+    @F.pandas_udf("array<struct<phrase:string,evidence:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([concepts(t) for t in texts], dtype=object)
+
+    return run(answer)
+
+
+def first_object(answer: Column) -> Column:
+    """``lenient_json`` of a column of answers, as JSON with sorted keys; null where there is none."""
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if (o := lenient_json(t)) is None else json.dumps(o, sort_keys=True) for t in texts], dtype=object)
+
+    return run(answer)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,6 +113,16 @@ def guard(node, deny=DENIED, max_str: int = 200, max_list: int = 64, path: str =
     return node, []
 
 
+def guard_json(column: Column, deny=DENIED, max_str: int = 200, max_list: int = 64) -> Column:
+    """``guard`` of a column of JSON objects: struct of kept (JSON with sorted keys) and dropped (paths)."""
+    @F.pandas_udf("kept string, dropped array<string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [guard(json.loads(t), deny, max_str, max_list) for t in texts]
+        return pd.DataFrame({"kept": [json.dumps(k, sort_keys=True) for k, _ in rows], "dropped": [d for _, d in rows]})
+
+    return run(column)
+
+
 def markdown(rows: list[dict], columns: list[str], digits: int = 4) -> str:
     """A table of a collected summary; the best number of each column is bold, suppressed cells are dashes."""
     show = lambda v: "—" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)

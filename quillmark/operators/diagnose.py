@@ -191,3 +191,10 @@ def dropped_histogram(codes: DataFrame, keep: Column, section: Column, top: int
     x = codes.withColumn("_keep", keep).withColumn("section", section)
     hist = x.where(~F.col("_keep")).groupBy("code").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "code").limit(top)
     return hist, x.groupBy("section").agg(F.count("*").alias("before"), F.sum(F.col("_keep").cast("int")).alias("after"))
+
+
+def worst_codes(gold: DataFrame, ranking: DataFrame, top: int = 10) -> DataFrame:
+    """The codes whose gold the ranking finds least, the more frequent first: the report's list."""
+    found = ranking.select("note_id", "code", F.lit(1).alias("f")).distinct()
+    x = gold.join(found, ["note_id", "code"], "left").groupBy("code").agg(F.count("*").alias("n"), r6(F.avg(F.coalesce("f", F.lit(0)))).alias("recall"))
+    return x.orderBy("recall", F.col("n").desc(), "code").limit(top)

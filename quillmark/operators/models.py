@@ -124,3 +124,16 @@ def linear_label_classifier(train: DataFrame, gold: DataFrame, codes: list[str],
         y = gold.where(F.col("code") == c).select("note_id", F.lit(1).alias("label"))
         out[c] = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=20, regParam=1e-2).fit(x.join(y, "note_id", "left").na.fill(0, ["label"]))
     return {"features": pipe, "models": out}
+
+
+def multi_hot(gold: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """note_id, ones: places of a note's codes in the vocabulary, by code from 0. The sparse form of the label matrix; the vocabulary is a code list."""
+    from pyspark.sql.window import Window
+
+    at = vocabulary.select("code", (F.row_number().over(Window.orderBy("code")) - 1).alias("at"))
+    return gold.join(at, "code").groupBy("note_id").agg(F.sort_array(F.collect_set("at")).alias("ones"))
+
+
+def merge_lists(lists, most: int):
+    """Lists one after the other as one: first appearances, at most ``most``."""
+    return F.slice(F.array_distinct(F.flatten(lists)), 1, most)

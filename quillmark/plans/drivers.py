@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codes as K
 from ..functions.codes import category
+from ..functions.text import n_words
 from ..operators import calibrate as C
 from ..operators import diagnose as D
 from ..operators import rank_metrics as R
 from ..operators import rules as N
+from ..operators import sampling as P
 from ..operators import set_metrics as M
 
 
@@ -70,3 +73,26 @@ def audit_change(before: DataFrame, after: DataFrame) -> DataFrame:
     cols = [c for c in before.columns if c not in ("bin", "n")]
     b = before.select("bin", *[F.col(c).alias(f"_{c}") for c in cols])
     return after.join(b, "bin").select("bin", "n", *[M.r6(F.col(c) - F.col(f"_{c}")).alias(f"delta_{c}") for c in cols])
+
+
+def corpus_build(notes: DataFrame, billing: DataFrame, code_filter: str = "procedural", min_tokens: int = 100, note_select: str = "first", val: float = 0.1, test: float = 0.2, seed: int = 42) -> dict[str, DataFrame]:
+    """A benchmark corpus of discharge notes (note_id, hadm_id, subject_id, note_text) and billed codes (hadm_id, subject_id, hcpcs_cd).
+
+    Encounters with a surgical code keep the codes that the filter lets pass; each has one note of at least min_tokens words; notes
+    are split by patient. corpus: note_id, hadm_id, subject_id, note_text, proc_codes, split. manifest: what each step leaves, a row a
+    step. frequency: bins of the training codes."""
+    code = F.col("code")
+    b = billing.select("hadm_id", "subject_id", F.upper(F.trim("hcpcs_cd")).alias("code")).where("code <> ''").distinct()
+    surgical = b.where(K.is_surgical(code)).select("hadm_id").distinct()
+    kept = b.join(surgical, "hadm_id", "left_semi").where(K.passes_filter(code, code_filter))
+    sets = kept.groupBy("hadm_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    one = D.one_note_per_encounter(notes.withColumnRenamed("note_text", "text").join(sets, "hadm_id"), note_select)
+    long_ = one.where(n_words(F.col("text")) >= min_tokens)
+    split = P.patient_split(long_, test, val, seed, "subject_id").select("note_id", "hadm_id", "subject_id", F.col("text").alias("note_text"), F.array_join("codes", "|").alias("proc_codes"), "codes", "split")
+    steps = {"billed encounters": b.select("hadm_id").distinct(), "with a surgical code": surgical, "with codes kept": sets, "with a note": one, "long enough": long_}
+    manifest = None
+    for i, (name, df) in enumerate(steps.items()):
+        row = df.agg(F.lit(i).alias("step"), F.lit(name).alias("name"), F.count("*").alias("n"))
+        manifest = row if manifest is None else manifest.unionByName(row)
+    train = split.where("split = 'train'").select("note_id", F.explode("codes").alias("code"))
+    return {"corpus": split.drop("codes"), "manifest": manifest, "frequency": M.frequency_bins(train), "splits": split.groupBy("split").agg(F.count("*").alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"), F.sum(F.size("codes")).alias("n_instances"))}

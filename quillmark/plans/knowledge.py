@@ -12,6 +12,7 @@ from ..operators import rules as N
 from ..operators.set_metrics import set_metrics
 from . import adapters as A
 from .adapters import with_sql
+from .files import _ANNUAL
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -116,16 +117,33 @@ def union_retrieve(spark, d):
     return T.union_retrieve(_dense(spark, d), _second(spark, d), "vec_id")
 
 
-@query("exemplar_diversify")
+_DIVERSE = _VOTE.replace("WITH ", "WITH RECURSIVE ", 1) + """, st AS (SELECT id, list_sort(list_distinct(list(code))) AS codes FROM lb WHERE code IS NOT NULL GROUP BY id),
+nb AS (SELECT item_id, top.id, rank, codes, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS n FROM top JOIN st USING (id) WHERE rank < 9),
+g(item_id, n, sets, ids) AS (SELECT DISTINCT item_id, 0::BIGINT, []::VARCHAR[][], []::BIGINT[] FROM nb
+ UNION ALL SELECT g.item_id, nb.n, CASE WHEN len(sets) < 3 AND len(list_filter(sets, lambda y: len(list_intersect(y, nb.codes)) / len(list_distinct(list_concat(y, nb.codes))) > 0.8)) = 0 THEN list_append(sets, nb.codes) ELSE sets END,
+  CASE WHEN len(sets) < 3 AND len(list_filter(sets, lambda y: len(list_intersect(y, nb.codes)) / len(list_distinct(list_concat(y, nb.codes))) > 0.8)) = 0 THEN list_append(ids, nb.id) ELSE ids END FROM g JOIN nb ON nb.item_id = g.item_id AND nb.n = g.n + 1),
+f AS (SELECT item_id, arg_max(ids, n) AS ids FROM g GROUP BY item_id) SELECT nb.item_id, nb.id, nb.rank FROM nb JOIN f ON f.item_id = nb.item_id AND list_contains(f.ids, nb.id)"""
+
+
+@query("exemplar_diversify", _DIVERSE)
 def exemplar_diversify(spark, d):
     sets = _labels(spark, d).groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
     return T.diversify(_top(spark, d, 9), sets, "item_id")
 
 
-@query("tfidf_search", None)
+_TFIDF = (
+    "WITH w AS (SELECT doc_id AS id, list_filter(" + _TOKENS.format("text") + ", lambda x: length(x) > 1 AND NOT list_contains([" + ", ".join(f"'{x}'" for x in T.STOP_WORDS) + "], x)) AS w FROM documents),\n"
+    "t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 50000),\n"
+    "x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), ix AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x),\n"
+    "q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(" + _TOKENS.format("text") + ") AS term FROM benchmark) GROUP BY ALL), sc AS (SELECT item_id, id, sum(qtf * w) AS score FROM q JOIN ix USING (term) GROUP BY ALL)\n"
+    "SELECT item_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM sc QUALIFY rank < 10"
+)
+
+
+@query("tfidf_search", _TFIDF)
 def tfidf_search(spark, d):
     index = T.tfidf_index(A.table(spark, d, "documents"), "doc_id", "text")
-    return T.bm25_topk(A.table(spark, d, "benchmark"), "item_id", "text", index, 10)
+    return T.bm25_topk(A.table(spark, d, "benchmark"), "item_id", "text", index, 10).select("item_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("self_consistency", with_sql("ranking", """, s AS (SELECT note_id, code, pos, pos % 3 AS smp FROM ranking WHERE pos <= 6 UNION ALL SELECT note_id, code, pos + 1, (pos + 1) % 3 FROM ranking WHERE pos <= 4),
@@ -137,7 +155,18 @@ def self_consistency(spark, d):
     return T.self_consistency(s, 3).withColumn("score", F.round("score", 6))
 
 
-@query("pool_union_phi")
+_PHI = with_sql("ranking kb", """, dn AS (SELECT note_id, code, score AS ds, pos % 4 AS bs, row_number() OVER (PARTITION BY note_id ORDER BY round(score, 12) DESC, code) - 1 AS dr FROM ranking WHERE pos <= 25),
+b1 AS (SELECT note_id, code, score * 9 AS s FROM ranking WHERE pos % 2 = 1 QUALIFY row_number() OVER (PARTITION BY note_id, pos % 4 ORDER BY round(score * 9, 12) DESC, code) <= 25), bm AS (SELECT note_id, code, s AS bsc, max(s) OVER (PARTITION BY note_id) AS bmax, row_number() OVER (PARTITION BY note_id ORDER BY round(s, 12) DESC, code) - 1 AS br FROM b1),
+nb AS (SELECT note_id, code, 'n' || pos % 3 AS nid, dense_rank() OVER (PARTITION BY note_id ORDER BY pos % 3) - 1 AS nr FROM ranking WHERE pos <= 5), nu AS (SELECT note_id, count(DISTINCT nid) AS used FROM nb GROUP BY note_id), ng AS (SELECT note_id, code, min(nr) AS nr, count(DISTINCT nid) AS nc FROM nb GROUP BY ALL),
+lm AS (SELECT note_id, code, pos - 1 AS lr FROM ranking WHERE score > 0.8), mx AS (SELECT note_id, max(bmax) AS m FROM bm GROUP BY note_id),
+u AS (SELECT note_id, code FROM dn UNION SELECT note_id, code FROM bm UNION SELECT note_id, code FROM ng UNION SELECT note_id, code FROM lm)
+SELECT u.note_id, u.code, coalesce(dr / 25, 1.0) AS kb_dense_rank, coalesce(ds, 0.0) AS kb_dense_score, (dr IS NOT NULL)::INT::DOUBLE AS kb_dense_present, coalesce(br / 25, 1.0) AS kb_bm25_rank, coalesce(CASE WHEN coalesce(m, 1) > 0 THEN bsc / coalesce(m, 1) END, 0.0) AS kb_bm25_score, (br IS NOT NULL)::INT::DOUBLE AS kb_bm25_present,
+ coalesce(nr / 25, 1.0) AS nbr_rank, coalesce(nc / used, 0.0) AS nbr_frac, (nr IS NOT NULL)::INT::DOUBLE AS nbr_present, coalesce(lr / 50, 1.0) AS llm_rank, CASE WHEN lr IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS llm_conf, ((dr IS NOT NULL)::INT + (br IS NOT NULL)::INT + (nr IS NOT NULL)::INT + (lr IS NOT NULL)::INT) / 4.0::DOUBLE AS n_sources,
+ coalesce(bs / 3, 0.0) AS best_snip_pos, (system = 'HCPCS')::INT::DOUBLE AS is_hcpcs, least(len(list_filter(regexp_split_to_array(trim(description), '\\s+'), lambda x: x <> '')) / 64, 1.0) AS desc_len
+FROM u JOIN kb USING (code) LEFT JOIN dn USING (note_id, code) LEFT JOIN bm USING (note_id, code) LEFT JOIN ng USING (note_id, code) LEFT JOIN nu USING (note_id) LEFT JOIN lm USING (note_id, code) LEFT JOIN mx USING (note_id)""")
+
+
+@query("pool_union_phi", _PHI)
 def pool_union_phi(spark, d):
     r = A.ranking(spark, d)
     dense = r.select("note_id", (F.col("pos") % 4).cast("int").alias("snippet"), "code", "score", (F.col("pos") - 1).alias("rank"))
@@ -194,7 +223,20 @@ def constraint_metrics(spark, d):
     return N.constraint_metrics(_checked(spark, d))
 
 
-@query("constrained_decode")
+_DECODE = with_sql("ranking ptp aoc1", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT note_id, code, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, pos) AS n FROM ranking WHERE score >= 0.5),
+hp AS (SELECT a.note_id, a.code AS x, b.code AS y FROM c a JOIN c b USING (note_id) JOIN ptp ON ccmi IN (0, 9) AND (col1 = a.code AND col2 = b.code OR col1 = b.code AND col2 = a.code)), cf AS (SELECT note_id, x, list(DISTINCT y) AS cf FROM hp GROUP BY ALL),
+ad AS (SELECT DISTINCT addon FROM aoc1), pl AS (SELECT a.note_id, a.code, list(DISTINCT b.code) AS pl FROM c a JOIN c b USING (note_id) JOIN aoc1 ON addon = a.code AND prim = b.code GROUP BY ALL),
+r AS (SELECT c.*, coalesce(cf, []) AS cf, ad.addon IS NOT NULL AS add, coalesce(pl, []) AS pl FROM c LEFT JOIN cf ON cf.note_id = c.note_id AND cf.x = c.code LEFT JOIN ad ON addon = c.code LEFT JOIN pl ON pl.note_id = c.note_id AND pl.code = c.code),
+g(note_id, n, kept, waiting) AS (SELECT DISTINCT note_id, 0::BIGINT, []::VARCHAR[], []::VARCHAR[] FROM c
+ UNION ALL SELECT g.note_id, r.n, CASE WHEN len(list_intersect(r.cf, kept)) = 0 AND (NOT r.add OR len(list_intersect(r.pl, kept)) > 0) THEN list_append(kept, r.code) ELSE kept END,
+  CASE WHEN len(list_intersect(r.cf, kept)) = 0 AND r.add AND len(list_intersect(r.pl, kept)) = 0 THEN list_append(waiting, r.code) ELSE waiting END FROM g JOIN r ON r.note_id = g.note_id AND r.n = g.n + 1),
+e AS (SELECT note_id, arg_max(kept, n) AS kept, arg_max(waiting, n) AS waiting FROM g GROUP BY note_id),
+h(note_id, i, kept, waiting, first) AS (SELECT note_id, 0, kept, waiting, len(kept) FROM e
+ UNION ALL SELECT h.note_id, i + 1, CASE WHEN len(list_intersect(r.cf, kept)) = 0 AND len(list_intersect(r.pl, kept)) > 0 THEN list_append(kept, r.code) ELSE kept END, waiting, first FROM h JOIN r ON r.note_id = h.note_id AND r.code = waiting[i + 1] WHERE i < len(waiting)),
+z AS (SELECT note_id, arg_max(kept, i) AS kept, any_value(first) AS first FROM h GROUP BY note_id) SELECT note_id, unnest(kept) AS code, unnest(range(len(kept))) AS kept_pos, unnest(list_transform(range(len(kept)), lambda j: j >= first)) AS repaired FROM z"""
+
+
+@query("constrained_decode", _DECODE)
 def constrained_decode(spark, d):
     return N.constrained_decode(A.ranking(spark, d), A.ptp(spark, d), A.aoc(spark, d)[0])
 
@@ -252,7 +294,7 @@ def event_stats(spark, d):
     return H.event_stats(A.code_events(spark, d))
 
 
-@query("event_reconcile")
+@query("event_reconcile", with_sql("code_events", _ANNUAL))
 def event_reconcile(spark, d):
     e = A.code_events(spark, d)
     annual = e.select("code", "change_type", F.year("effective_date").alias("year"), "crosswalk_code").distinct()

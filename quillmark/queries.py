@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, files, knowledge, texts
+from .plans import evaluation, files, forms, knowledge, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**evaluation.QUERIES, **knowledge.QUERIES, **texts.QUERIES, **files.QUERIES}
-ORACLE_SQL: dict[str, str] = {**evaluation.SQL, **knowledge.SQL, **texts.SQL, **files.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**evaluation.QUERIES, **knowledge.QUERIES, **texts.QUERIES, **files.QUERIES, **forms.QUERIES}
+ORACLE_SQL: dict[str, str] = {**evaluation.SQL, **knowledge.SQL, **texts.SQL, **files.SQL, **forms.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
