@@ -132,8 +132,8 @@ def exemplar_diversify(spark, d):
 
 
 _TFIDF = (
-    "WITH w AS (SELECT doc_id AS id, list_filter(" + _TOKENS.format("text") + ", lambda x: length(x) > 1 AND NOT list_contains([" + ", ".join(f"'{x}'" for x in T.STOP_WORDS) + "], x)) AS w FROM documents),\n"
-    "t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 50000),\n"
+    "WITH w AS (SELECT id, i, x, lead(x) OVER (PARTITION BY id ORDER BY i) AS y FROM (SELECT doc_id AS id, unnest(" + _TOKENS.format("text") + ") AS x, unnest(range(len(" + _TOKENS.format("text") + "))) AS i FROM documents) WHERE length(x) > 1 AND x NOT IN (" + ", ".join(f"'{x}'" for x in T.STOP_WORDS) + ")),\n"
+    "t AS (SELECT id, x AS term FROM w UNION ALL SELECT id, x || ' ' || y FROM w WHERE y IS NOT NULL), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 50000),\n"
     "x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), ix AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x),\n"
     "q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(" + _TOKENS.format("text") + ") AS term FROM benchmark) GROUP BY ALL), sc AS (SELECT item_id, id, sum(qtf * w) AS score FROM q JOIN ix USING (term) GROUP BY ALL)\n"
     "SELECT item_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM sc QUALIFY rank < 10"
@@ -224,7 +224,7 @@ def constraint_metrics(spark, d):
 
 
 _DECODE = with_sql("ranking ptp aoc1", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT note_id, code, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, pos) AS n FROM ranking WHERE score >= 0.5),
-hp AS (SELECT a.note_id, a.code AS x, b.code AS y FROM c a JOIN c b USING (note_id) JOIN ptp ON ccmi IN (0, 9) AND (col1 = a.code AND col2 = b.code OR col1 = b.code AND col2 = a.code)), cf AS (SELECT note_id, x, list(DISTINCT y) AS cf FROM hp GROUP BY ALL),
+pr AS (SELECT a.note_id, a.code AS x, b.code AS y FROM c a JOIN c b USING (note_id) WHERE a.code <> b.code), hp AS (SELECT pr.* FROM pr JOIN ptp ON col1 = x AND col2 = y WHERE ccmi IN (0, 9) UNION ALL SELECT pr.* FROM pr JOIN ptp ON col1 = y AND col2 = x WHERE ccmi IN (0, 9)), cf AS (SELECT note_id, x, list(DISTINCT y) AS cf FROM hp GROUP BY ALL),
 ad AS (SELECT DISTINCT addon FROM aoc1), pl AS (SELECT a.note_id, a.code, list(DISTINCT b.code) AS pl FROM c a JOIN c b USING (note_id) JOIN aoc1 ON addon = a.code AND prim = b.code GROUP BY ALL),
 r AS (SELECT c.*, coalesce(cf, []) AS cf, ad.addon IS NOT NULL AS add, coalesce(pl, []) AS pl FROM c LEFT JOIN cf ON cf.note_id = c.note_id AND cf.x = c.code LEFT JOIN ad ON addon = c.code LEFT JOIN pl ON pl.note_id = c.note_id AND pl.code = c.code),
 g(note_id, n, kept, waiting) AS (SELECT DISTINCT note_id, 0::BIGINT, []::VARCHAR[], []::VARCHAR[] FROM c
