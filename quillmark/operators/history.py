@@ -5,12 +5,12 @@ Canonical inputs: events(code, change_type, effective_date, crosswalk_code, ...)
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.codes import codes_in_prose
+from ..sources.scratch import kept
 
 
 def reconcile(annual: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def crosswalk(asked: DataFrame, events: DataFrame, kb: DataFrame, depth: int = 5
     named = deleted.select(F.col("code").alias("from"), "effective_date", codes_in_prose(text).alias("subs"))
 
     open_ = days.select("code", "as_of", F.col("code").alias("at"), F.array("code").alias("seen"), F.array().cast("array<int>").alias("path"))
-    act = is_active(days, events, kb).persist(StorageLevel.MEMORY_AND_DISK)
+    act = kept(is_active(days, events, kb))
     open_ = open_.join(act.where(~F.col("active")).select("code", "as_of"), ["code", "as_of"], "left_semi")
     answers = None
     for _ in range(depth):
@@ -68,8 +68,8 @@ def crosswalk(asked: DataFrame, events: DataFrame, kb: DataFrame, depth: int = 5
         latest = step.groupBy("code", "as_of", "at", "seen", "path").agg(F.max(F.struct("effective_date", "subs")).alias("m"))
         nxt = latest.select("code", "as_of", "seen", "path", F.posexplode("m.subs").alias("ord", "to")).where(~F.array_contains("seen", F.col("to")))
         state = is_active(nxt.select(F.col("to").alias("code"), "as_of"), events, kb).select(F.col("code").alias("to"), "as_of", "active")
-        # Kept for its two readers and to keep plans short; lost parts are computed again.
-        nxt = nxt.join(state, ["to", "as_of"]).withColumn("path", F.concat("path", F.array("ord"))).persist(StorageLevel.MEMORY_AND_DISK)
+        # Written for its two readers, and to keep plans short.
+        nxt = kept(nxt.join(state, ["to", "as_of"]).withColumn("path", F.concat("path", F.array("ord"))))
         found = nxt.where("active").select("code", "as_of", "path", F.col("to").alias("substitute"))
         answers = found if answers is None else answers.unionByName(found)
         open_ = nxt.where(~F.col("active")).select("code", "as_of", F.col("to").alias("at"), F.concat("seen", F.array("to")).alias("seen"), "path")
