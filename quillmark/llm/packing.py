@@ -255,7 +255,7 @@ def _rows(packed: Iterator[tuple[int, list[tuple]]], first: int, with_ids: bool,
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False, carry_tokens: int = 1 << 25, known_words: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False, carry_tokens: int = 1 << 24, known_words: int = 400_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, placed_by (one of PLACED), and ids if
     asked for.
 
