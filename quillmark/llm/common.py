@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,13 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of what no table refers to any more: the shuffle files of finished steps, which otherwise stay until the driver
+    happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage: a lost executor costs at most the running stage."""
 
