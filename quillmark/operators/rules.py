@@ -36,15 +36,17 @@ def in_use(rules: DataFrame, column: str, codes: DataFrame, code: str = "code")
     return rules.join(codes.select(F.col(code).alias(column)).distinct(), column, "left_semi")
 
 
-def ptp_check(codes: DataFrame, ptp: DataFrame) -> DataFrame:
+def ptp_check(codes: DataFrame, ptp: DataFrame, small: int = 500_000) -> DataFrame:
     """note_id, col1, col2, hard: ordered pairs of a note's codes that an edit names, in both directions; of several rows of a
     pair the strictest counts. codes: one row a note and code.
 
     Pairs are made inside notes and meet the edits in one equi-join on both codes, after the edits have lost rows of codes that
-    no note has; the strictest row is found among the few rows met, not over the whole table."""
+    no note has; the strictest row is found among the few rows met, not over the whole table. Up to ``small`` pairs, which are counted first
+    (three short strings each, some 30 MB), are broadcast, so that the rule table is not shuffled; beyond that both sides are."""
     pairs = note_pairs(codes.select("note_id", F.col("code").alias("x")), codes.select("note_id", F.col("code").alias("y"))).select("note_id", F.col("x").alias("col1"), F.col("y").alias("col2"))
     edits = in_use(in_use(ptp.select("col1", "col2", "ccmi"), "col1", codes), "col2", codes)
-    met = edits.join(pairs.hint("shuffle_hash"), ["col1", "col2"]).groupBy("note_id", "col1", "col2").agg(F.min("ccmi").alias("ccmi"))
+    pairs = F.broadcast(pairs) if pairs.limit(small + 1).count() <= small else pairs.hint("shuffle_hash")
+    met = edits.join(pairs, ["col1", "col2"]).groupBy("note_id", "col1", "col2").agg(F.min("ccmi").alias("ccmi"))
     return met.select("note_id", "col1", "col2", F.col("ccmi").isin(0, 9).alias("hard"))
 
 
