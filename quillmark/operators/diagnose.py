@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .rank_metrics import hits, positions
-from .rules import primaries_met
+from .rules import addons, primaries_met
 from .set_metrics import BINS, flags, per_note, r6, ratio, with_bin
 
 
@@ -122,7 +122,7 @@ def confused_families(flagged: DataFrame, top: int = 25) -> DataFrame:
 def addon_axis(gold: DataFrame, pred: DataFrame, aoc1: DataFrame) -> DataFrame:
     """One row: wrong codes, those that are add-ons, and of those the ones without a primary among the predicted."""
     fp = flags(gold, pred).where("fp = 1").select("note_id", F.col("code").alias("addon"))
-    adds = fp.join(aoc1.select("addon").distinct(), "addon", "left_semi")
+    adds = fp.join(addons(aoc1), "addon", "left_semi")
     held = primaries_met(adds, pred.select("note_id", "code").distinct(), aoc1).select("note_id", "addon").distinct()
     marked = fp.join(adds.withColumn("a", F.lit(1)), ["note_id", "addon"], "left").join(held.withColumn("h", F.lit(1)), ["note_id", "addon"], "left").na.fill(0)
     return marked.agg(F.count("*").alias("n_fp"), F.sum("a").alias("n_addon_fp"), F.sum(F.col("a") * (1 - F.col("h"))).alias("n_orphan"), r6(F.avg("a")).alias("addon_share"), r6(ratio(F.sum(F.col("a") * (1 - F.col("h"))), F.sum("a"))).alias("orphan_share"))
