@@ -164,8 +164,12 @@ def read_ptp(spark: SparkSession, path) -> DataFrame:
     return x.select(norm(g(0)).alias("col1"), norm(g(1)).alias("col2"), compact_date(g(3)).alias("effective"), compact_date(g(4)).alias("deletion"), g(5).try_cast("int").alias("ccmi"), g(6).alias("rationale")).where("ccmi is not null")
 
 
+def ptp_in_force(on: str) -> Column:
+    return in_force(F.lit(on).cast("date"), F.col("effective"), F.col("deletion"))
+
+
 def active_ptp(ptp: DataFrame, on: str) -> DataFrame:
-    return ptp.where(in_force(F.lit(on).cast("date"), F.col("effective"), F.col("deletion")))
+    return ptp.where(ptp_in_force(on))
 
 
 def read_aoc(spark: SparkSession, path, strict: bool = False) -> DataFrame:
