@@ -185,9 +185,13 @@ def read_aoc(spark: SparkSession, path, strict: bool = False) -> DataFrame:
     return x.select("addon", F.when(~three, F.substring("primary_field", 1, 5)).alias("primary"), "addon_deletion", "primary_deletion", "effective", F.when(three, 3).otherwise(1).alias("aoc_type"), "description")
 
 
-def active_aoc(aoc: DataFrame, on: str) -> DataFrame:
+def aoc_in_force(on: str) -> Column:
     d = F.lit(on).cast("date")
-    return aoc.where(in_force(d, F.col("effective"), F.col("addon_deletion")) & in_force(d, F.lit(None).cast("date"), F.col("primary_deletion")))
+    return in_force(d, F.col("effective"), F.col("addon_deletion")) & in_force(d, F.lit(None).cast("date"), F.col("primary_deletion"))
+
+
+def active_aoc(aoc: DataFrame, on: str) -> DataFrame:
+    return aoc.where(aoc_in_force(on))
 
 
 def aoc_lookup(aoc: DataFrame) -> tuple[DataFrame, DataFrame]:
