@@ -131,8 +131,8 @@ def addon_axis(gold: DataFrame, pred: DataFrame, aoc1: DataFrame) -> DataFrame:
 def header_patterns(headers: DataFrame, min_count: int = 2, top: int = 50) -> DataFrame:
     """section, header, n: a header of several sections stays with the one that has it most (ties: first by name)."""
     n = headers.groupBy("section", "header").agg(F.count("*").alias("n"))
-    own = n.withColumn("i", F.row_number().over(Window.partitionBy("header").orderBy(F.col("n").desc(), "section"))).where("i = 1").where(F.col("n") >= min_count)
-    w = Window.partitionBy("section").orderBy(F.col("n").desc(), F.length("header").desc(), "header")
+    own = n.withColumn("i", F.row_number().over(Window.partitionBy("header").orderBy(F.col("n").desc(), F.col("section").asc_nulls_last()))).where("i = 1").where(F.col("n") >= min_count)
+    w = Window.partitionBy("section").orderBy(F.col("n").desc(), F.length("header").desc(), F.col("header").asc_nulls_last())
     return own.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("section", "header", "n", "place")
 
 
