@@ -155,9 +155,9 @@ def encounter_rollup(billing: DataFrame, keep: Column | None = None) -> DataFram
     return out.where("any = 1").select("hadm_id", "subject_id", F.array_join("codes", "|").alias("proc_codes"), F.size("codes").alias("n_codes"))
 
 
-def one_note_per_encounter(notes: DataFrame, how: str = "first") -> DataFrame:
-    """The note with the smallest id, or the longest one (ties: smallest id)."""
-    order = [F.col("note_id")] if how == "first" else [F.length("text").desc(), F.col("note_id")]
+def one_note_per_encounter(notes: DataFrame, how: str = "first", length: Column | None = None) -> DataFrame:
+    """The note with the smallest id, or the longest one (ties: smallest id). ``length`` stands for that of the column text."""
+    order = [F.col("note_id")] if how == "first" else [(F.length("text") if length is None else length).desc(), F.col("note_id")]
     return notes.withColumn("_i", F.row_number().over(Window.partitionBy("hadm_id").orderBy(*order))).where("_i = 1").drop("_i")
 
 

@@ -14,6 +14,7 @@ from ..operators import rank_metrics as R
 from ..operators import rules as N
 from ..operators import sampling as P
 from ..operators import set_metrics as M
+from ..sources.scratch import kept
 
 
 def harness(note_ids, gold, pred, ranking=None, bins=None, families=None, rules=None, n_boot: int = 0) -> dict[str, DataFrame]:
@@ -80,19 +81,29 @@ def corpus_build(notes: DataFrame, billing: DataFrame, code_filter: str = "proce
 
     Encounters with a surgical code keep the codes that the filter lets pass; each has one note of at least min_tokens words; notes
     are split by patient. corpus: note_id, hadm_id, subject_id, note_text, proc_codes, split. manifest: what each step leaves, a row a
-    step. frequency: bins of the training codes."""
+    step. frequency: bins of the training codes.
+
+    Notes are picked, measured and split by their ids, and texts are joined to those; ids in passing are written, so that where they
+    are few no text is shuffled."""
     code = F.col("code")
     b = billing.select("hadm_id", "subject_id", F.upper(F.trim("hcpcs_cd")).alias("code")).where("code <> ''").distinct()
     surgical = b.where(K.is_surgical(code)).select("hadm_id").distinct()
-    kept = b.join(surgical, "hadm_id", "left_semi").where(K.passes_filter(code, code_filter))
-    sets = kept.groupBy("hadm_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
-    one = D.one_note_per_encounter(notes.withColumnRenamed("note_text", "text").join(sets, "hadm_id"), note_select)
-    long_ = one.where(n_words(F.col("text")) >= min_tokens)
-    split = P.patient_split(long_, test, val, seed, "subject_id").select("note_id", "hadm_id", "subject_id", F.col("text").alias("note_text"), F.array_join("codes", "|").alias("proc_codes"), "codes", "split")
+    passed = b.join(surgical, "hadm_id", "left_semi").where(K.passes_filter(code, code_filter))
+    sets = passed.groupBy("hadm_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    slim = notes.select("note_id", "hadm_id", "subject_id", F.length("note_text").alias("_length"))
+    one = kept(D.one_note_per_encounter(slim.join(sets, "hadm_id"), note_select, F.col("_length")).drop("_length"))
+    texts = notes.select(F.col("note_id").alias("_n"), F.col("hadm_id").alias("_h"), "note_text")
+
+    def with_text(ids: DataFrame) -> DataFrame:
+        return ids.join(texts, (F.col("hadm_id") == F.col("_h")) & F.col("note_id").eqNullSafe(F.col("_n"))).drop("_n", "_h").dropDuplicates(["hadm_id"])
+
+    long_ = kept(with_text(one).where(n_words(F.col("note_text")) >= min_tokens).drop("note_text"))
+    split = kept(P.patient_split(long_, test, val, seed, "subject_id").select("note_id", "hadm_id", "subject_id", F.array_join("codes", "|").alias("proc_codes"), "codes", "split"))
     steps = {"billed encounters": b.select("hadm_id").distinct(), "with a surgical code": surgical, "with codes kept": sets, "with a note": one, "long enough": long_}
     manifest = None
     for i, (name, df) in enumerate(steps.items()):
         row = df.agg(F.lit(i).alias("step"), F.lit(name).alias("name"), F.count("*").alias("n"))
         manifest = row if manifest is None else manifest.unionByName(row)
     train = split.where("split = 'train'").select("note_id", F.explode("codes").alias("code"))
-    return {"corpus": split.drop("codes"), "manifest": manifest, "frequency": M.frequency_bins(train), "splits": split.groupBy("split").agg(F.count("*").alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"), F.sum(F.size("codes")).alias("n_instances"))}
+    corpus = with_text(split).select("note_id", "hadm_id", "subject_id", "note_text", "proc_codes", "split")
+    return {"corpus": corpus, "manifest": manifest, "frequency": M.frequency_bins(train), "splits": split.groupBy("split").agg(F.count("*").alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"), F.sum(F.size("codes")).alias("n_instances"))}

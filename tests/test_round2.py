@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import upper_each
+from quillmark.operators import rules as N
 from quillmark.operators import set_metrics as M
+from quillmark.plans import drivers
 
 
 def test_upper_case_keeps_the_length_of_a_header(table):
@@ -23,3 +25,24 @@ def test_macro_of_draws_is_that_of_resamples(table):
     want = {r["b"]: r["f"] for r in by.groupBy("b").agg(F.avg(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f")).collect()}
     got = {r["b"]: r["macro_f1"] for r in M.drawn_macro_f1(flagged, 30, 5).collect()}
     assert got.keys() == want.keys() and all(abs(got[b] - want[b]) < 1e-12 for b in want)
+
+
+def test_corpus_texts_are_joined_to_picked_ids(table):
+    notes = table([(f"n{i}", i % 4, i % 2, "word " * 120) for i in range(12)] + [("n0", 0, 0, "word " * 120)], "note_id string, hadm_id int, subject_id int, note_text string")
+    billing = table([(i, 0, "43235") for i in range(4)], "hadm_id int, subject_id int, hcpcs_cd string")
+    corpus = drivers.corpus_build(notes, billing)["corpus"]
+    plan = corpus._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Window" not in plan
+    assert sorted(r["note_id"] for r in corpus.collect()) == ["n0", "n1", "n10", "n11"]
+
+
+def test_rows_of_a_pair_all_count_where_every_one_is_asked(table):
+    codes, ptp = table([("a", "1"), ("a", "2")], "note_id string, code string"), table([("1", "2", 1), ("1", "2", 9), ("2", "2", 0)], "col1 string, col2 string, ccmi int")
+    got = sorted((r["col1"], r["col2"], r["hard"]) for r in N.ptp_check(codes, ptp, every=True).collect())
+    assert got == [("1", "2", False), ("1", "2", True), ("2", "2", True)]
+    assert [(r["col1"], r["col2"], r["hard"]) for r in N.ptp_check(codes, ptp).collect()] == [("1", "2", False)]
+
+
+def test_an_addon_named_as_its_own_primary_holds_it(table):
+    codes, aoc1 = table([("a", "1"), ("b", "2")], "note_id string, code string"), table([("1", "1"), ("2", "3")], "addon string, primary string")
+    assert [r["note_id"] for r in N.aoc_check(codes, aoc1, aoc1.limit(0).select("addon")).collect()] == ["b"]
