@@ -12,6 +12,7 @@ from ..operators import models as V
 from ..operators import pool as Q
 from ..operators import segment as S
 from ..sources import sinks as O
+from ..sources.scratch import kept
 from ..streaming import code_events as E
 from . import adapters as A
 from .adapters import with_sql
@@ -185,6 +186,6 @@ def event_windows(spark, d):
 
 @query("verifier_scores")
 def verifier_scores(spark, d):
-    pool = pool_union_phi(spark, d)
+    pool = kept(pool_union_phi(spark, d))  # read for the weight, the fit and the scores
     examples = Q.pair_examples(pool, A.gold(spark, d))
     return V.apply_verifier(V.train_verifier(examples, max_iter=10), pool)
