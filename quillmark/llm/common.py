@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -120,11 +121,21 @@ def id_kind(df: DataFrame, name: str) -> tuple[str, pa.DataType]:
     return ("string", pa.string()) if dict(df.dtypes)[name] == "string" else ("long", pa.int64())
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system. Arrow's pool and the allocator keep it otherwise, hundreds of MB in each Python worker,
+    which Spark keeps for the next stage's tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone
+    if trim:
+        trim(0)
+
+
 def slices(batches, rows: int = 512):
-    """Record batches in smaller pieces, so that few texts are Python objects at a time."""
+    """Record batches in smaller pieces, so that few texts are Python objects at a time; what a batch took is handed back."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        hand_back()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

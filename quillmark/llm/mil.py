@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, id_crc, table, text_bytes
+from .common import fresh, hand_back, id_crc, table, text_bytes
 
 #: Words a passage, hashed buckets of character-class trigrams, surface measures of a passage.
 PASSAGE_WORDS, BUCKETS, SURFACE = 64, 96, 6
@@ -195,6 +195,7 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
                     flush()
                     held = 0
         flush()
+        hand_back()
         return pa.array(out)
 
     return docs.withColumn(name, run(F.coalesce(docs["text"].cast("string"), F.lit(""))))

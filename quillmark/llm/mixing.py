@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, hand_back, table
 
 #: Weights of sources in code-point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -191,6 +191,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: int
     schema = docs.schema
 
     def run(t: pa.Table) -> pa.Table:
+        hand_back()  # what the group before took
         t, spans = _spans(t, p)
         at = [i for i, s in enumerate(spans) if s]
         rows = t.column("row").take(pa.array(at, pa.int64()))
