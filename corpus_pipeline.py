@@ -29,8 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of at least 0.8) stays: the smallest id (null
-    last), then the smallest hash of the text. Texts without words are one group; a row repeated in full stays once."""
+    """One document of each group of near-duplicates (candidates by SimHash, links by five-word shingles, similarity of at least 0.8)
+    stays: the smallest id (null last), then the smallest hash of the text. Texts without words are one group; a row repeated in full
+    stays once."""
     return keep_one_near(docs)
 
 

@@ -1,10 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-Shingle sets are sketched by minima of hashes and filed under bands of them. Among sets filed alike, those whose sketches
-look similar are candidates, and what candidates connect is compared shingle by shingle, so every link is exact. A pair at
-similarity s is missed with probability ``(1 - s ** ROWS) ** BANDS``: 3 in 100,000 at 0.8. Equal sets are one class before
-filing. A bucket or group sends on a spanning forest, not its pairs; a bucket over ``max_bucket`` classes, or a group over
-``max_words`` shingles, is dealt to pairs of chunks.
+"""Near-duplicates by SimHash, held against the Jaccard similarity of word shingles.
+
+A shingle set has a SimHash of BITS bits. Sets are candidates where these lie near: first those whose leading 64 bits differ in
+three or fewer, found through the pigeonhole blocks of ``simhash``. Sets at similarity 0.8 lie up to APART of BITS bits apart,
+which no blocks can file, so sets are also filed under bands of minima of hashes, and compared by SimHash where they are filed
+alike. What candidates connect is compared shingle by shingle, so every link is exact. A pair at similarity s shares no band with
+probability ``(1 - s ** ROWS) ** BANDS``: 3 in 100,000 at 0.8. Equal sets are one class before filing. A bucket or group sends on a
+spanning forest, not its pairs; a bucket over ``max_bucket`` classes, or a group over ``max_words`` shingles, is dealt to pairs of
+chunks.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_kind, release_shuffles, slices, text_bytes
+from .common import Scratch, hand_back, id_kind, release_shuffles, slices, text_bytes
 from .components import connected_components
-from .simhash import keep_first
+from .simhash import keep_first, link_edges
 
 BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
-#: Candidates agree on this share of hashes; a pair at similarity 0.8 has fewer once in a million times.
-LOOK = 0.55
+#: Bits of a SimHash, in words of 64. A bit differs with probability 0.19 at most between sets of similarity 0.8 (four shingles and five;
+#: 0.15 where there are many), so more than APART bits do so twice in 100,000 times at most.
+WORDS = 8
+BITS, APART = 64 * WORDS, 132
 
 _rng = np.random.default_rng(11)
 _XOR = _rng.integers(0, 1 << 64, HASHES, np.uint64)
@@ -53,8 +57,26 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+_SEED = np.append(np.uint64(0), _rng.integers(0, 1 << 64, WORDS - 1, np.uint64))
+
+
+def simhash(shingles: np.ndarray) -> bytes:
+    """BITS bits, each set if over half the shingles have it. The first word of a shingle is its hash, so the leading 64 bits are the
+    fingerprint that ``simhash.fingerprint`` gives of a text that repeats no shingle; the other words are mixed from it."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 255):  # as many as a byte counts
+        x = shingles[at : at + 255, None] ^ _SEED
+        y = x[:, 1:]
+        for odd in (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)):
+            y = (y ^ (y >> np.uint64(31))) * odd
+        x[:, 1:] = y ^ (y >> np.uint64(31))
+        counts += np.unpackbits(x.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(shingles)).tobytes()
+
+
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_hash, class (of the shingle set), n (its size), keys (one a band), sketch (a byte a hash) of every row."""
+    """doc_id, text_hash, class (of the shingle set), n (its size), keys (one a band), sketch (its SimHash) and fp (the leading 64 bits
+    as a long) of every row; a text without words has no keys and an empty sketch."""
 
     def run(batches):
         for b in slices(batches):
@@ -65,15 +87,16 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 classes.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 sizes.append(len(s))
                 keys.append([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(m)] if len(s) else [])
-                bytes_.append(m.astype(np.uint8).tobytes() if len(s) else b"")
+                bytes_.append(simhash(s) if len(s) else b"")
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), long([x for k in keys for x in k]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), long(classes), pa.array(sizes, pa.int64()), lists, pa.array(bytes_, pa.binary())], ["doc_id", "text_hash", "class", "n", "keys", "sketch"])
+            fps = long([int.from_bytes(x[:8], "big") for x in bytes_])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), long(classes), pa.array(sizes, pa.int64()), lists, pa.array(bytes_, pa.binary()), fps], ["doc_id", "text_hash", "class", "n", "keys", "sketch", "fp"])
 
     kind = id_kind(docs, "doc_id")[0]
     slim = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(run, f"doc_id {kind}, text_hash long, class long, n long, keys array<long>, sketch binary")
+    return slim.mapInArrow(run, f"doc_id {kind}, text_hash long, class long, n long, keys array<long>, sketch binary, fp long")
 
 
 def forest(n: int, near) -> list[tuple[int, int]]:
@@ -97,11 +120,22 @@ def _frame(edges: list) -> pd.DataFrame:
 def _look(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for _, b in pdf.groupby(["key", "i", "j"], sort=False):
-        ids, x = b["class"].to_numpy(), np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(len(b), HASHES)
-        out += [(ids[i], ids[j]) for i, j in forest(len(b), lambda i, left: (x[left] == x[i]).sum(axis=1) >= LOOK * HASHES)]
+        ids, x = b["class"].to_numpy(), np.frombuffer(b"".join(b["sketch"]), np.uint64).reshape(len(b), WORDS)
+        out += [(ids[i], ids[j]) for i, j in forest(len(b), lambda i, left: np.bitwise_count(x[left] ^ x[i]).sum(axis=1) <= APART)]
+    hand_back()
     return _frame(out)
 
 
+def fingerprint_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """u, v: edges that connect the classes (columns class and fp) whose fingerprints lie three bits or fewer apart. Classes of one
+    fingerprint hang on the least of them."""
+    least = scratch.keep(sets.groupBy("fp").agg(F.min("class").alias("to")))
+    same = sets.join(least, "fp").where(F.col("class") != F.col("to")).select(F.col("class").alias("u"), F.col("to").alias("v"))
+    near = link_edges(least.select("fp"), scratch).join(least.select(F.col("fp").alias("u"), F.col("to").alias("_u")), "u")
+    near = near.join(least.select(F.col("fp").alias("v"), F.col("to").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    return near.union(same).distinct()
+
+
 def _exact(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Spanning forest of the links of at least ``similarity`` among sets."""
     sizes = np.array([len(s) for s in sets])
@@ -142,7 +176,8 @@ def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 5, similarity:
     groups = max(1, -(-several.count() // group_rows))
     several = several.join(one, "class").withColumn("bin", F.when(F.col("chunks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
     look = several.select("bin", "key", "i", "j", "class", "sketch").groupBy("bin").applyInPandas(_look, "u long, v long")
-    roots = scratch.keep(connected_components(look, scratch))
+    near = fingerprint_links(rows.where("n > 0").select("class", "fp").distinct(), scratch)
+    roots = scratch.keep(connected_components(look.union(near), scratch))
     release_shuffles(docs.sparkSession)
 
     # Every candidate's text travels once: of equal sets, the text with the least doc_id.
@@ -165,6 +200,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 5, similarity:
             ids = b["class"].to_numpy()
             if len(ids) > 1:
                 out += [(ids[i], ids[j]) for i, j in _exact([shingle_set(t.encode(), shingle) for t in b["text"]], similarity)]
+        hand_back()
         return _frame(out)
 
     links = told.select("bin", "root", "i", "j", "class", "text").groupBy("bin").applyInPandas(compare, "u long, v long")

@@ -4,7 +4,9 @@ import random
 
 import corpus_pipeline
 from quillmark.llm import near as R
+from quillmark.llm import simhash as S
 from quillmark.llm.common import Scratch
+from quillmark.llm.components import connected_components
 
 from .conftest import SCHEMA, prose
 from .test_simhash import brute_components
@@ -67,3 +69,34 @@ def test_minima_estimate_similarity():
     a = R.shingle_set(" ".join(map(str, range(3004))).encode())
     b = R.shingle_set(" ".join(map(str, range(300, 3304))).encode())
     assert len(a) == 3000 and abs((R.minima(a) == R.minima(b)).mean() - 2700 / 3300) < 0.15
+
+
+def test_simhash_of_the_stage():
+    """Its leading bits are the operator's fingerprint; pairs of the rule lie near, others do not."""
+    words = [f"w{i}" for i in range(3000)]
+    for n in (1, 4, 9, 255, 256, 900):
+        text = " ".join(words[:n]).encode()
+        assert R.simhash(R.shingle_set(text))[:8] == S.fingerprint(text, 5).to_bytes(8, "big")
+
+    def apart(a, b):
+        x, y = (int.from_bytes(R.simhash(R.shingle_set(" ".join(t).encode())), "big") for t in (a, b))
+        return (x ^ y).bit_count()
+
+    for at in range(0, 2000, 20):
+        assert apart(words[at : at + 8], words[at : at + 9]) <= R.APART  # four shingles of five
+        assert apart(words[at : at + 904], words[at + 100 : at + 1004]) <= R.APART  # 800 of 1,000
+        assert apart(words[at : at + 300], words[at + 300 : at + 600]) > R.APART
+
+
+def test_fingerprints_bring_candidates_of_their_own(spark):
+    rng = random.Random(3)
+    fps = {}
+    for i in range(60):
+        base = rng.getrandbits(64)
+        for j, flips in enumerate((0, 0, 1, 3, 5)):
+            fps[100 * i + j] = base ^ sum(1 << b for b in rng.sample(range(64), flips))
+    rows = spark.createDataFrame([(c, S._signed(x)) for c, x in fps.items()], "class long, fp long")
+    scratch = Scratch(spark)
+    got = {r["node"]: r["root"] for r in connected_components(R.fingerprint_links(rows, scratch), scratch).collect()}
+    want = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    assert {c: got.get(c, c) for c in fps} == want
