@@ -75,6 +75,7 @@ class Encoder:
         self.parts, self.most = _parts_at_spaces(spec), most
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}  # runs behind the first one of a word: mostly a few marks, the same ones again and again
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,14 +86,21 @@ class Encoder:
 
     def learn(self, words: list[str], at_once: int = 1024) -> None:
         """Ids of each of ``words`` behind a blank."""
-        known, others, lead = self.known, [], _OF_BYTE[32]
+        known, ends, others, lead = self.known, self.ends, [], _OF_BYTE[32]
+        if len(ends) > self.most // 8:
+            ends.clear()
         for w in words:
             if w.isascii() and w.isalpha():
                 known[w] = array("I", [t.id for t in self.model.tokenize(lead + w)]).tobytes()
             elif _RUNS.fullmatch(w) and not any(a in w for a in self.added):
                 runs = _RUN.findall(w)
-                first = known.get(runs[0]) or self.piece(" " + runs[0])
-                known[w] = first + b"".join(map(self.piece, runs[1:]))
+                ids = known.get(runs[0]) or self.piece(" " + runs[0])
+                for run in runs[1:]:
+                    held = ends.get(run)
+                    if held is None:
+                        held = ends[run] = self.piece(run)
+                    ids += held
+                known[w] = ids
             else:
                 others.append(w)
         for at in range(0, len(others), at_once):
@@ -116,7 +124,7 @@ class Encoder:
         self.learn(plain)
         odd, get = new.difference(plain), self.known.get
         for words in split:
-            if _solid(words[0]) and odd.isdisjoint(words):
+            if _solid(words[0]) and (not odd or odd.isdisjoint(words)):
                 yield self.whole(words[0]) + b"".join(map(get, words[1:]))
             else:
                 yield self._pieces(words)

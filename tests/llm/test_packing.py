@@ -117,3 +117,14 @@ def test_brute_force_of_both_stages():
         assert {k: b"".join(x for _, x in sorted(v)) for k, v in held.items()} == dict(docs)
         whole = {id(p) for s in open_ for p in s}
         assert all(id(p) in whole for how, s in last if how == 2 for p in s)
+
+
+def test_ends_of_words_are_looked_up_once():
+    import public_tokenizers
+
+    enc = P.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words, asked, piece = [f"{a}{b}né&&&" for a in "abcdef" for b in "xyz"], [], enc.piece
+    enc.piece = lambda run: asked.append(run) or piece(run)
+    enc.learn(words)
+    assert asked.count("&&&") == 1
+    assert all(enc.known[w] == enc.whole(" " + w) for w in words)
