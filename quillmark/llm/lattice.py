@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_crc, slices, table, text_bytes
+from .common import Scratch, hand_back, id_crc, slices, table, text_bytes
 
 MARK = "▁"
 LN10 = math.log(10)
@@ -229,6 +229,7 @@ def count_words(docs: DataFrame, is_training) -> DataFrame:
                 if len(held) + len(other) > 300_000:
                     yield from flush()
         yield from flush()
+        hand_back()
 
     partial = docs.select(F.col("text").cast("string").alias("text"), is_training.alias("train")).mapInArrow(run, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -260,7 +261,7 @@ def lattice_scores(docs: DataFrame, is_training, vocabulary_path: str, head: int
 
     def expect(batches):
         lattice, got = Lattice(vocabulary(vocabulary_path), logs), 0.0
-        for b in batches:
+        for b in slices(batches, 10_000):
             got = got + lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(float))
         units = np.rint(np.broadcast_to(got, lattice.vocab.size) / _UNIT).astype(np.int64)
         found = np.flatnonzero(units)
@@ -273,7 +274,7 @@ def lattice_scores(docs: DataFrame, is_training, vocabulary_path: str, head: int
 
     def weigh(batches):
         lattice = Lattice(vocabulary(vocabulary_path), logs)
-        for b in batches:
+        for b in slices(batches, 10_000):
             out = lattice.words(b.column(0).to_pylist()) / LN10
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["word", "n", "log10_p"])
 

@@ -94,3 +94,25 @@ def test_scores_against_brute_force(docs, rows, head):
 
 def test_empty_table(empty):
     assert L.lattice_scores(empty, F.lit(True), PATH).count() == 0
+
+
+def test_a_worker_hands_back_what_its_counts_took(spark, monkeypatch):
+    """The last words go out after the last batch, so the counts' memory must be given back once more."""
+    import pyarrow as pa
+
+    from quillmark.llm import lattice
+
+    class Rows:
+        def __getattr__(self, _):
+            return lambda *a: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    rows, seen = Rows(), []
+    monkeypatch.setattr(lattice, "hand_back", lambda: seen.append("back"), raising=False)
+    lattice.count_words(rows, F.lit(True))
+    for b in rows.run(iter([pa.RecordBatch.from_arrays([pa.array(["a b", "b"]), pa.array([True, False])], ["text", "train"])])):
+        seen.append(b.num_rows)
+    assert seen == [2, "back"]
