@@ -17,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ def _parts_at_spaces(spec: dict) -> bool:
 _LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 _RUN = re.compile(f"[{_LATIN}]+|[0-9]+|[{_MARKS}]+|\n")
 _RUNS = re.compile(f"[{_LATIN}0-9{_MARKS}]+(?:\n[{_LATIN}0-9{_MARKS}]+)*")
+_LETTERS = re.compile(f"[{_LATIN}]+")
+_ASCII_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on, in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OF_BYTE = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -60,8 +63,8 @@ def _solid(word: str) -> bool:
 class Encoder:
     """Ids of whole texts by a tokenizer file through its own library, as little-endian unsigned 32-bit bytes.
 
-    Texts repeat their words, so a word behind a blank is encoded once and its ids are kept, at most ``most`` words at a time.
-    A new word is given to the library's model piece by piece where its runs of letters, digits and marks are the pieces; the other new words
+    Texts repeat their words, so a word behind a blank is encoded once and its ids are kept: about ``most`` of one run each, in two halves,
+    of which the older goes. Words of several runs are put together from those for one call of ``encode`` at a time. A new word is given to the library's model piece by piece where its runs of letters, digits and marks are the pieces; the other new words
     are encoded in one call as a text of their own, and its ids are dealt to them by their offsets. Where blanks meet other white
     space, the words around are encoded together. Under a tokenizer whose ids do not part at blanks, whole texts are encoded."""
 
@@ -74,7 +77,11 @@ class Encoder:
         self.model = self.tokenizer.model
         self.parts, self.most = _parts_at_spaces(spec), most
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        #: Whether letters and marks behind them never hold an added token.
+        self.free_ends = not any(re.fullmatch(f"[{_LATIN}]*[{_MARKS}]*", a) for a in self.added)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # those kept before these; what is met again moves on
+        self.passing: list[str] = []  # words of several runs: put together anew for each call, as most are rare
         self.ends: dict[str, bytes] = {}  # runs behind the first one of a word: mostly a few marks, the same ones again and again
 
     def whole(self, text: str) -> bytes:
@@ -85,24 +92,35 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(held)]).tobytes()
 
     def learn(self, words: list[str], at_once: int = 1024) -> None:
-        """Ids of each of ``words`` behind a blank."""
-        known, ends, others, lead = self.known, self.ends, [], _OF_BYTE[32]
+        """Ids of each of ``words`` behind a blank; those of first runs are kept as of words, as many words differ in their ends alone."""
+        known, ends, others, longer, lead = self.known, self.ends, [], [], _OF_BYTE[32]
         if len(ends) > self.most // 8:
             ends.clear()
         for w in words:
             if w.isascii() and w.isalpha():
                 known[w] = array("I", [t.id for t in self.model.tokenize(lead + w)]).tobytes()
+            else:
+                longer.append(w)
+        for w in longer:
+            head = w.rstrip(_ASCII_MARKS) if self.free_ends else ""
+            if head and (head.isascii() and head.isalpha() or _LETTERS.fullmatch(head)):
+                runs = (head, w[len(head) :]) if len(head) < len(w) else (head,)
             elif _RUNS.fullmatch(w) and not any(a in w for a in self.added):
                 runs = _RUN.findall(w)
-                ids = known.get(runs[0]) or self.piece(" " + runs[0])
+            else:
+                others.append(w)
+                continue
+            ids = known.get(runs[0])
+            if ids is None:
+                ids = known[runs[0]] = self.piece(" " + runs[0])
+            if len(runs) > 1:
                 for run in runs[1:]:
                     held = ends.get(run)
                     if held is None:
                         held = ends[run] = self.piece(run)
                     ids += held
                 known[w] = ids
-            else:
-                others.append(w)
+                self.passing.append(w)
         for at in range(0, len(others), at_once):
             part = others[at : at + at_once]
             got = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
@@ -116,16 +134,23 @@ class Encoder:
         if not self.parts:
             yield from map(self.whole, texts)
             return
-        if len(self.known) > self.most:
-            self.known = {}
-        split = [t.split(" ") for t in texts]
-        new = {w for w in set().union(*split) if w not in self.known}
+        for w in self.passing:
+            del self.known[w]
+        self.passing.clear()
+        if len(self.known) > self.most // 2:
+            self.before, self.known = self.known, {}
+        split, known = [t.split(" ") for t in texts], self.known
+        new = set().union(*split).difference(known)
+        again = self.before.keys() & new
+        known.update(zip(again, map(self.before.__getitem__, again)))
+        new -= again
         plain = list(filter(_solid, new))
         self.learn(plain)
-        odd, get = new.difference(plain), self.known.get
+        odd = new.difference(plain)
         for words in split:
             if _solid(words[0]) and (not odd or odd.isdisjoint(words)):
-                yield self.whole(words[0]) + b"".join(map(get, words[1:]))
+                rest = words[1:]
+                yield self.whole(words[0]) + (b"".join(itemgetter(*rest)(known)) if len(rest) > 1 else known[rest[0]] if rest else b"")
             else:
                 yield self._pieces(words)
 

@@ -128,3 +128,21 @@ def test_ends_of_words_are_looked_up_once():
     enc.learn(words)
     assert asked.count("&&&") == 1
     assert all(enc.known[w] == enc.whole(" " + w) for w in words)
+
+
+def test_first_runs_are_tokenised_once(tokenizer):
+    enc, asked = P.Encoder(PATH), []
+    piece = enc.piece
+    enc.piece = lambda x: asked.append(x) or piece(x)
+    texts = ["so wörd, wörd. wörd!? wörd", "so plain: plain; plain.\nPlain, x", "so wörd, again", "a_b c<|endoftext|> d| <|", "one"]
+    for t in texts:
+        assert list(enc.encode([t])) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(asked) == len(set(asked)) and asked.count(" wörd") == 1
+    assert "wörd" in enc.known and "wörd!?" not in enc.known
+
+
+def test_words_met_again_outlive_a_full_encoder(tokenizer):
+    enc = P.Encoder(PATH, most=20)
+    texts = [f"x keep kept, new{i} {' '.join(chr(97 + i) + chr(97 + j) for j in range(9))} keep." for i in range(26)]
+    assert list(enc.encode(texts[:1])) + [x for t in texts[1:] for x in enc.encode([t])] == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert "keep" in enc.known and len(enc.known) + len(enc.before) < 60
