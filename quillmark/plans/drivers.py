@@ -89,8 +89,8 @@ def corpus_build(notes: DataFrame, billing: DataFrame, code_filter: str = "proce
     b = billing.select("hadm_id", "subject_id", F.upper(F.trim("hcpcs_cd")).alias("code")).where("code <> ''")
     held = b.where("hadm_id is not null").select("hadm_id", "code").distinct()
     passed = F.when(K.passes_filter(code, code_filter), code)
-    sets = held.groupBy("hadm_id").agg(F.max(K.is_surgical(code)).alias("_surgical"), F.sort_array(F.collect_list(passed)).alias("codes"))
-    sets = kept(sets.where("_surgical and size(codes) > 0").drop("_surgical"))
+    sets = held.groupBy("hadm_id").agg(F.max(K.is_surgical(code)).alias("_surgical"), F.sort_array(F.collect_list(passed)).alias("codes"), F.count(passed).alias("n_codes"))
+    sets = kept(sets.where("_surgical and n_codes > 0").drop("_surgical"))
     slim = notes.select("note_id", "hadm_id", "subject_id", F.length("note_text").alias("_length"))
     one = kept(D.one_note_per_encounter(slim.join(sets.select("hadm_id"), "hadm_id", "left_semi"), note_select, F.col("_length")).drop("_length"))
     texts = notes.select(F.col("note_id").alias("_n"), F.col("hadm_id").alias("_h"), "note_text")
@@ -100,13 +100,12 @@ def corpus_build(notes: DataFrame, billing: DataFrame, code_filter: str = "proce
 
     long_ = kept(with_text(one).where(n_words(F.col("note_text")) >= min_tokens).drop("note_text"))
     split = kept(P.patient_split(long_, test, val, seed, "subject_id").select("note_id", "hadm_id", "subject_id", "split"))
-    coded = split.join(sets, "hadm_id")
     surgical = b.where(K.is_surgical(code)).select("hadm_id").distinct()
     steps = {"billed encounters": b.select("hadm_id").distinct(), "with a surgical code": surgical, "with codes kept": sets, "with a note": one, "long enough": long_}
     manifest = None
     for i, (name, df) in enumerate(steps.items()):
         row = df.agg(F.lit(i).alias("step"), F.lit(name).alias("name"), F.count("*").alias("n"))
         manifest = row if manifest is None else manifest.unionByName(row)
-    train = coded.where("split = 'train'").select("note_id", F.explode("codes").alias("code"))
+    train = split.where("split = 'train'").join(sets, "hadm_id").select("note_id", F.explode("codes").alias("code"))
     corpus = with_text(split).join(sets, "hadm_id").select("note_id", "hadm_id", "subject_id", "note_text", F.array_join("codes", "|").alias("proc_codes"), "split")
-    return {"corpus": corpus, "manifest": manifest, "frequency": M.frequency_bins(train), "splits": coded.groupBy("split").agg(F.count("*").alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"), F.sum(F.size("codes")).alias("n_instances"))}
+    return {"corpus": corpus, "manifest": manifest, "frequency": M.frequency_bins(train), "splits": split.join(sets.select("hadm_id", "n_codes"), "hadm_id").groupBy("split").agg(F.count("*").alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"), F.sum("n_codes").alias("n_instances"))}

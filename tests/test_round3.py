@@ -13,3 +13,12 @@ def test_code_sets_are_not_carried_through_the_choice_of_notes(table, monkeypatc
     assert sorted((r["note_id"], r["hadm_id"], r["subject_id"], r["proc_codes"]) for r in got["corpus"].collect()) == [("n01", 1, 1, "43235|J0585"), ("n02", 2, 2, "43235|J0585")]
     assert [r["n"] for r in got["manifest"].orderBy("step").collect()] == [5, 4, 3, 3, 2]
     assert seen and all("codes" not in columns for columns in seen)
+
+
+def test_splits_count_codes_without_reading_them(table):
+    notes = table([(f"n{i}", i, i, "word " * 120) for i in range(10)], "note_id string, hadm_id int, subject_id int, note_text string")
+    billing = table([(i, 0, c) for i in range(10) for c in ["43235", "G0463", "J0585", "j0585 ", "A0021"][: 2 + i % 4]], "hadm_id int, subject_id int, hcpcs_cd string")
+    got = drivers.corpus_build(notes, billing)["splits"]
+    assert {r["split"]: (r["n_notes"], r["n_patients"]) for r in got.collect()} == {"train": (7, 7), "val": (1, 1), "test": (2, 2)}
+    assert sum(r["n_instances"] for r in got.collect()) == sum((1, 2, 2, 3)[i % 4] for i in range(10))
+    assert "codes:array" not in got._jdf.queryExecution().executedPlan().toString()
