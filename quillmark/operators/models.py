@@ -17,13 +17,32 @@ from .calibrate import best_threshold, threshold_sweep
 from .pool import FEATURES
 
 
+#: Fixed value: the weight of squared coefficients of standardised features.
+PENALTY = 1e-3
+
+
+def _penalty(examples: DataFrame) -> float:
+    """PENALTY for examples that stand for several. Spark divides squared deviations by the sum of weights less sum of squares / sum,
+    which is another number once rows are put together; this undoes it, so that the optimum is that of the rows apart."""
+    w, k = F.when(F.col("label") == 1, F.col("pos_weight")).otherwise(1.0), F.col("times")
+    r = examples.agg(F.sum(w * k).alias("w"), F.sum(w * w * k).alias("apart"), F.sum(w * k * w * k).alias("together")).first()
+    apart, together = r["w"] - r["apart"] / r["w"] if r["w"] else 0.0, r["w"] - r["together"] / r["w"] if r["w"] else 0.0
+    return PENALTY * together / apart if apart > 0 and together > 0 else PENALTY
+
+
 def train_verifier(examples: DataFrame, kind: str = "logistic", features=FEATURES, seed: int = 42, max_iter: int = 50) -> PipelineModel:
-    """A verifier over pool features: logistic regression with weighted positives, or one hidden layer."""
+    """A verifier over pool features: logistic regression with weighted positives, or one hidden layer, which takes no weights. Examples
+    with a column ``times`` stand for so many."""
     weight = F.when(F.col("label") == 1, F.col("pos_weight")).otherwise(1.0)
+    if "times" in examples.columns:
+        if kind != "logistic":
+            raise ValueError("only the logistic verifier takes examples that stand for several")
+        weight = weight * F.col("times")
+    penalty = _penalty(examples) if "times" in examples.columns else PENALTY
     x = examples.select(*features, "label", weight.alias("_w")).persist()  # every iteration reads it
     gather = VectorAssembler(inputCols=list(features), outputCol="_phi")
     if kind == "logistic":
-        model = LogisticRegression(featuresCol="_phi", labelCol="label", weightCol="_w", regParam=1e-3, maxIter=max_iter)
+        model = LogisticRegression(featuresCol="_phi", labelCol="label", weightCol="_w", regParam=penalty, maxIter=max_iter)
     else:
         model = MultilayerPerceptronClassifier(featuresCol="_phi", labelCol="label", layers=[len(features), 16, 2], seed=seed, maxIter=max_iter)
     try:
@@ -33,8 +52,11 @@ def train_verifier(examples: DataFrame, kind: str = "logistic", features=FEATURE
 
 
 def apply_verifier(model: PipelineModel, pool: DataFrame) -> DataFrame:
-    """note_id, code, score."""
-    return model.transform(pool).select("note_id", "code", vector_to_array("probability")[1].alias("score"))
+    """note_id, code, score; a row of the pool with a column ``times`` is scored once and comes so often."""
+    scored = model.transform(pool).withColumn("score", vector_to_array("probability")[1])
+    if "times" in pool.columns:
+        scored = scored.select("note_id", "code", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return scored.select("note_id", "code", "score")
 
 
 def select_model(models: list[PipelineModel], pool: DataFrame, gold: DataFrame) -> tuple[PipelineModel, float, float]:

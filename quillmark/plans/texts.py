@@ -16,7 +16,7 @@ from ..sources.scratch import kept
 from ..streaming import code_events as E
 from . import adapters as A
 from .adapters import with_sql
-from .knowledge import pool_union_phi
+from .knowledge import pool_alike
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -186,6 +186,7 @@ def event_windows(spark, d):
 
 @query("verifier_scores")
 def verifier_scores(spark, d):
-    pool = kept(pool_union_phi(spark, d))  # read for the weight, the fit and the scores
-    examples = Q.pair_examples(pool, A.gold(spark, d))
+    """Where parts share a code the pool has a row for each: rows that are alike are fitted and scored once, and all come out."""
+    pool = kept(Q.labelled(pool_alike(spark, d), A.gold_sets(spark, d)))  # read for the fit and the scores
+    examples = Q.weighed(kept(Q.grouped_examples(pool)))
     return V.apply_verifier(V.train_verifier(examples, max_iter=10), pool)
